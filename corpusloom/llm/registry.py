@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import mixing, packing, sharding
+from corpusloom.llm import licenses, mixing, packing, sharding, toxicity
 
-MODULES = (packing, sharding, mixing)
+MODULES = (packing, sharding, mixing, licenses, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
