@@ -19,6 +19,7 @@ train; without rows of both labels every score is 0; other columns of documents
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -237,7 +238,7 @@ def toxicity(model: Model | None, text: Column | str) -> Column:
         return F.lit(0.0)
     # The model has a fixed size: BUCKETS numbers.
     shipped = SparkSession.active().sparkContext.broadcast(model)
-    name = f"toxic-words:{shipped.id}"  # type: ignore[attr-defined]
+    name = f"toxic-words:{zlib.crc32(model.share.tobytes())}"
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
