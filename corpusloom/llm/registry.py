@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import licenses, mixing, packing, quality, sharding, toxicity
+from corpusloom.llm import html, licenses, mixing, packing, quality, sharding, toxicity, warc
 
-MODULES = (quality, packing, sharding, mixing, licenses, toxicity)
+MODULES = (warc, quality, packing, sharding, html, mixing, licenses, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
