@@ -1,12 +1,33 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the columns of
+documents: quality rules drop what they reject, toxicity drops what scores as toxic, near-duplicate detection keeps the
+smallest id of each class, mixing repeats or drops documents to meet the sources' targets. Packing returns a row per
+piece with its place in a sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import materialize, read
+from corpusloom.llm.minhash import keep_one_of_each
 from corpusloom.llm.mixing import mix_documents
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.quality import drop_low_quality
+from corpusloom.llm.toxicity import drop_toxic
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_low_quality(docs, read(spark, sf_dir, "labels"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +38,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("mixing", mixing), ("packing", packing)]
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
+
+#: Toxicity, near-duplicate detection, mixing and packing can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import html, licenses, minhash, mixing, packing, quality, sharding, toxicity, warc
+from corpusloom.llm import embeddings, html, licenses, minhash, mixing, packing, quality, sharding, toxicity, warc
 
-MODULES = (warc, quality, packing, minhash, sharding, html, mixing, licenses, toxicity)
+MODULES = (embeddings, warc, quality, packing, minhash, sharding, html, mixing, licenses, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
