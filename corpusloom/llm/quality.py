@@ -76,7 +76,9 @@ def with_features(df: DataFrame, text: str) -> DataFrame:
         "word_length": "__q_word_chars / greatest(__q_n_words, 1)", "capitals": "__q_n_capitals / greatest(__q_word_chars, 1)", "shouts": "__q_n_shouts / greatest(__q_n_words, 1)",
     }
     signals = F.expr("named_struct(" + ", ".join(f"'{k}', double({ratio[k]})" for k in GRIDS) + ")").alias("__q_signals")
-    failed = F.expr(f"__q_n_words < {MIN_WORDS} OR 100 * __q_n_repeat_words > 50 * __q_n_words").alias("__q_base_failed")
+    # Not deterministic for the optimizer, so that no filter is pushed below and computes the features over and over.
+    barrier = F.spark_partition_id() >= 0
+    failed = (F.expr(f"__q_n_words < {MIN_WORDS} OR 100 * __q_n_repeat_words > 50 * __q_n_words") & barrier).alias("__q_base_failed")
     return counted.select("*", failed, signals)
 
 
