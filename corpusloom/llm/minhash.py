@@ -38,7 +38,7 @@ BANDS = 26
 ROWS = 5
 #: A provisional class of at most this many texts is verified in one task.
 SMALL_CLASS = 200
-PIVOTS = 8
+PIVOTS = 2
 CACHE_WORDS = 600_000
 #: Texts whose processes advance together.
 BATCH_TEXTS = 1000
@@ -168,11 +168,44 @@ def _bags(texts: DataFrame) -> DataFrame:
     return texts.select("id", "cls", "text").mapInArrow(run, "id long, cls long, bag binary")
 
 
+def shared_counts(own: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """For every two bags the size of what they share, by products of the matrices "has the shingle at least n times"."""
+    text = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    key = np.concatenate(own) if own else np.zeros(0, np.uint64)
+    order = np.lexsort((text, key))
+    text, key = text[order], key[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])]) if len(key) else np.zeros(0, bool)
+    # The n-th copy of a shingle in a text is a feature of its own: (shingle, n).
+    nth = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    feature = _mix(key + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    _, feature, uses = np.unique(feature, return_inverse=True, return_counts=True)
+    many = uses[feature] > 1
+    text, feature = text[many], feature[many]
+    _, feature = np.unique(feature, return_inverse=True)
+    order = np.argsort(feature, kind="stable")
+    text, feature = text[order], feature[order]
+    out = np.zeros((len(own), len(own)), np.float64)
+    for at in range(0, int(feature[-1]) + 1 if len(feature) else 0, columns):
+        a, b = np.searchsorted(feature, [at, at + columns])
+        has = np.zeros((len(own), columns), np.float32)
+        has[text[a:b], feature[a:b] - at] = 1.0
+        out += has @ has.T
+    return out
+
+
 def _near(own: list[np.ndarray], ids: list[int], limit: float, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that join the near texts of a group: all pairs but those already joined or too unlike in size.
+    """Links that join the near texts of a group; of all pairs near enough, a spanning forest.
 
     side: pairs are between a text of side 0 and one of side 1 only.
     """
+    size = np.array([len(x) for x in own], dtype=np.float64)
+    if len(own) < 2:
+        return []
+    shared = shared_counts(own)
+    near = shared >= limit * (size[:, None] + size[None, :] - shared) - 1e-9
+    near &= shared > 0
+    if side is not None:
+        near &= np.array(side)[:, None] != np.array(side)[None, :]
     root = list(range(len(own)))
 
     def find(x: int) -> int:
@@ -182,14 +215,10 @@ def _near(own: list[np.ndarray], ids: list[int], limit: float, side: list[int] |
         return x
 
     out = []
-    order = sorted(range(len(own)), key=lambda k: len(own[k]))
-    for i, x in enumerate(order):
-        for y in order[i + 1 :]:
-            if len(own[x]) < limit * len(own[y]):
-                break
-            if (side is None or side[x] != side[y]) and find(x) != find(y) and weighted_jaccard(own[x], own[y]) >= limit:
-                root[find(y)] = find(x)
-                out.append((ids[x], ids[y]))
+    for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        if find(x) != find(y):
+            root[find(y)] = find(x)
+            out.append((ids[x], ids[y]))
     return out
 
 
@@ -277,7 +306,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     stars = materialize(keys.join(buckets, (F.col("band") == F.col("b")) & (F.col("key") == F.col("k"))).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "bucket-stars")
     classes = components(stars)
     cls = classes.unionByName(classes.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("c_id"), F.col("component").alias("cls"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(cls, F.col("id") == F.col("c_id")).select("id", "cls", "text")
+    # The candidates grow with the texts, so the join is the same at every size.
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(cls.hint("merge"), F.col("id") == F.col("c_id")).select("id", "cls", "text")
     own = materialize(_bags(texts).dropDuplicates(["id"]), "class-bags")
     links = verified_links(own, similarity)
     table = links[0]
