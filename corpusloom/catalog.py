@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corpusloom.queries import relational, texts
+
+_TABLE = relational.TABLE | texts.TABLE
+QUERIES = {name: query for name, (query, _) in _TABLE.items()}
+ORACLES = {name: sql for name, (_, sql) in _TABLE.items() if sql}

@@ -1 +1 @@
-
+"""Composite plans: whole tables from sources to results."""
