@@ -48,7 +48,7 @@ def test_other_sinks(spark, tmp_path):
     assert io.resume_state(io.empty(spark, "id long, k string"), ["k", "id"], "id") == (0, 0)
     with pytest.raises(ValueError, match="columns"):
         io.resume_state(df, ["id"], "id")
-    (tmp_path / "AKT1.pdf").write_bytes(b"")
+    (tmp_path / "AKT1.pdf").write_bytes(b"x")
     assert io.file_index(spark, str(tmp_path / "*.pdf"), r"/([^/]+)\.pdf$").first()["key"] == "AKT1"
     ranges = io.page_ranges(spark.createDataFrame([("a",), ("b",)], "key string"), spark.createDataFrame([("a", 3, 9)], "key string, first_page int, last_page int"))
     assert {tuple(r) for r in ranges.collect()} == {("a", 3, 9), ("b", 1, 10_000)}
