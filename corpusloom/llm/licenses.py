@@ -45,7 +45,7 @@ LICENSES = (
     ("cddl", "development and distribution", r"common development and distribution", r"1 [01]"),
     ("cpl", "common public", r"common public", r"(?:0 5|1 0)"),
     ("ibmpl", "ibm", r"ibm public", r"1 0"),
-    ("bsd", "bsd", r"(?:(?:new|revised|simplified|modified|original|2 clause|3 clause|4 clause|0 clause) )?bsd", r"[234] clause"),
+    ("bsd", "bsd", r"(?:(?:new|revised|simplified|modified|original|[0234] clause) )?bsd(?: [0234] clause)?", ""),
     ("isc", "isc", r"(?:isc|internet systems consortium)", ""),
     ("boost", "boost", r"boost software", r"1 0"),
     ("zlib", "zlib", r"(?:zlib|zlib libpng)", ""),

@@ -7,10 +7,10 @@ partitions only the last response of each partition's last key is passed on, one
 entity tags (weak comparison), or, where a side has no tag, equal Last-Modified dates. The resolved record has the
 response's headers with those of the 304 laid over them that RFC 9111 permits a 304 to update.
 
-Cases: captures with a null or unparsable URL have the empty key and are resolved by nothing; a null time sorts first and
-is never resolved; of responses at the same time the one with the larger id is later, and a response at the time of a
-revisit counts as earlier; repeated rows are resolved one by one; empty tables give empty results; other columns are not
-read.
+Cases: captures with a null or unparsable URL have the empty key and are resolved by nothing; a revisit without a time
+is not resolved and a response without one resolves nothing; of responses at the same time the one with the larger id is
+later, and a response at the time of a revisit counts as earlier; repeated rows are resolved one by one; empty tables
+give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     Columns: id, url_key, ts, resolution (etag, last-modified, mismatch or none), matched_id and matched_ts (of the
     latest earlier response), headers (merged; null unless the validators agree).
     """
-    full = F.col("status") == 200
+    full = (F.col("status") == 200) & F.col("ts").isNotNull()
     keyed = captures.select("id", canonical_url("url").alias("url_key"), "ts", "status", "headers").where(full | (F.col("status") == 304))
     response = F.struct(F.col("id").alias("id"), F.col("ts").alias("ts"), F.col("headers").alias("headers"))
     rows = keyed.select("*", F.when(full, 0).otherwise(1).alias("late")).repartitionByRange("url_key", "ts", "late", "id").withColumn("part", F.spark_partition_id())
