@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, materialize, read, worker_state
+from corpusloom.llm.common import discard, materialize, read
 from corpusloom.llm.components import components
 
 SHINGLE = 5
@@ -39,7 +39,6 @@ ROWS = 5
 #: A provisional class of at most this many texts is verified in one task.
 SMALL_CLASS = 200
 PIVOTS = 2
-CACHE_WORDS = 600_000
 #: Texts whose processes advance together.
 BATCH_TEXTS = 1000
 
@@ -53,23 +52,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(text: str | None, cache: dict[bytes, int], size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit hashes of the text's shingles, repeats included."""
-    import xxhash
+    from xxhash import xxh3_64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").split()  # splits at ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    try:
-        hashes = [cache[w] for w in words]
-    except KeyError:
-        for w in words:
-            if w not in cache:
-                cache[w] = xxhash.xxh3_64_intdigest(w)
-        hashes = [cache[w] for w in words]
-    h = np.array(hashes, dtype=np.uint64)
+    h = np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for k in range(n):
@@ -135,11 +125,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: st
     """id, d1 and d2 (digest of the bag), n (its size), bands (a hash for each band; empty for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_state("shingle-words", dict)
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_TEXTS):
                 batch = whole.slice(at, BATCH_TEXTS)
-                bags = [shingles(t.as_py(), cache) for t in batch.column(1)]
+                bags = [shingles(t.as_py()) for t in batch.column(1)]
                 sign = bag_min_hash(bags, bands * rows).view(np.uint64).reshape(len(bags), bands, rows)
                 band = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.ones((len(bags), 1), np.uint64)
                 for k in range(rows):
@@ -160,9 +149,8 @@ def _bags(texts: DataFrame) -> DataFrame:
     """texts: id, cls, text. id, cls, bag (the sorted hashes' bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_state("shingle-words", dict)
         for batch in batches:
-            bags = [shingles(t.as_py(), cache).tobytes() for t in batch.column(2)]
+            bags = [shingles(t.as_py()).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=["id", "cls", "bag"])
 
     return texts.select("id", "cls", "text").mapInArrow(run, "id long, cls long, bag binary")

@@ -29,31 +29,66 @@ MAX_TOKENS = 4096
 END_ID = 1
 PACK = 50_000
 ROUNDS = 4
-#: Words kept with their ids in each Python worker; about 200 bytes each.
-CACHE_WORDS = 600_000
+#: Words kept with their ids in each Python worker; about 200 bytes each. Beyond that all are dropped and met anew.
+CACHE_WORDS = 400_000
+#: Texts whose new words are encoded in one call.
+TEXTS_AT_ONCE = 64
 MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|\Z)")
 
 
-def token_bytes(text: str, tokenizer, cache: dict[bytes, bytes], limit: int = CACHE_WORDS) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit numbers.
+class WordTokens:
+    """A tokenizer that encodes what white space separates on its own, with the ids of words it has met."""
 
-    The tokenizer lower-cases, drops white space and encodes what stands between on its own, so ids are kept by word. A
-    point or comma after an ASCII letter or digit and before white space is a token of its own and is set apart first.
-    """
-    raw = text.encode()
-    if b"<|" in raw:  # special tokens are found before lower-casing
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    words = MARK.sub(rb" \1", raw.lower()).split()
-    if len(cache) > limit:
-        cache.clear()
-    try:
-        return b"".join([cache[w] for w in words])
-    except KeyError:
-        pass
-    new = list({w for w in words if w not in cache})
-    for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-        cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-    return b"".join([cache[w] for w in words])
+    def __init__(self, vocabulary: str, limit: int = CACHE_WORDS) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.known: dict[bytes, bytes] = {}
+        self.limit = limit
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.ends[ends] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, words: list[bytes]) -> None:
+        """Words of letters only are one piece each, whose last id marks its end: they are encoded together."""
+        plain, other = [], []
+        for w in words:
+            text = w.decode()
+            (plain if text.isalpha() else other).append(text)
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = self._ids(" ".join(some))
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some):
+                other += some
+                continue
+            data, low = ids.tobytes(), 0
+            for text, high in zip(some, (4 * cut).tolist(), strict=True):
+                self.known[text.encode()] = data[low:high]
+                low = high
+        for text, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[text.encode()] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The texts' ids as little-endian unsigned 32-bit numbers.
+
+        A point or comma after an ASCII letter or digit and before white space is a token of its own and is set apart
+        first. Special tokens are found before lower-casing: texts that may hold one are encoded whole.
+        """
+        raw = [(t or "").encode() for t in texts]
+        special = [b"<|" in r for r in raw]
+        words = [[] if s else MARK.sub(rb" \1", r.lower()).split() for r, s in zip(raw, special, strict=True)]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        found = [list(map(self.known.get, w)) for w in words]
+        new = list({w for ws, fs in zip(words, found, strict=True) if None in fs for w, f in zip(ws, fs, strict=True) if f is None})
+        if new:
+            self.learn(new)
+            found = [list(map(self.known.__getitem__, w)) if None in f else f for w, f in zip(words, found, strict=True)]
+        return [self._ids(t or "").tobytes() if s else b"".join(f) for t, s, f in zip(texts, special, found, strict=True)]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -70,16 +105,15 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer = worker_state(f"tokenizer:{tokenizer_path}", lambda: Tokenizer.from_str(vocabulary.value))
-        cache = worker_state(f"token-cache:{tokenizer_path}", dict)
+        tokens = worker_state(f"tokens:{tokenizer_path}", lambda: WordTokens(vocabulary.value))
         end = np.array([end_id], dtype="<u4").tobytes()
         width = 4 * max_tokens
         for batch in batches:
             rows, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(1)):
-                data = token_bytes(text.as_py() or "", tokenizer, cache) + end
+            texts = batch.column(1)
+            encoded = (data for at in range(0, len(texts), TEXTS_AT_ONCE) for data in tokens.encode(texts.slice(at, TEXTS_AT_ONCE).to_pylist()))
+            for k, data in enumerate(encoded):
+                data += end
                 for n, at in enumerate(range(0, len(data), width)):
                     part = data[at : at + width]
                     rows.append(k)

@@ -42,7 +42,9 @@ RATE = 1.0
 STRONGEST = 2
 SEED = 5
 THRESHOLD = 0.7
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
+#: Texts whose new words are scored in one call.
+TEXTS_AT_ONCE = 64
 STRIP = " \t\r\n.,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -246,17 +248,17 @@ def toxicity(model: Model | None, text: Column | str) -> Column:
         cache: dict[str, float] = worker_state(name, dict)
         for batch in batches:
             out = np.empty(len(batch))
-            for k, value in enumerate(batch):
-                words = words_of(value)
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                texts = [words_of(value) for value in batch.iloc[at : at + TEXTS_AT_ONCE]]
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
-                try:
-                    shares = [cache[w] for w in words]
-                except KeyError:
-                    new = list({w for w in words if w not in cache})
+                found = [list(map(cache.get, words)) for words in texts]
+                new = list({w for words, f in zip(texts, found, strict=True) if None in f for w, x in zip(words, f, strict=True) if x is None})
+                if new:
                     cache.update(zip(new, own.word_shares(new).tolist(), strict=True))
-                    shares = [cache[w] for w in words]
-                out[k] = own.probability(own.logit(np.array(shares) * counted_once(words)))
+                for k, (words, f) in enumerate(zip(texts, found, strict=True)):
+                    shares = np.array(list(map(cache.__getitem__, words)) if None in f else f, dtype=np.float64)
+                    out[at + k] = own.probability(own.logit(shares * counted_once(words)))
             yield pd.Series(out)
 
     return score(text)
