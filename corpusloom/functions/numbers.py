@@ -130,3 +130,19 @@ def span_lengths(tokens: int, density: float = 0.15, span: float = 3.0) -> tuple
     while lengths(n + 1)[0] <= tokens:
         n += 1
     return n, lengths(n)[1]
+
+
+def span_mask(length: int, seed: int, density: float = 0.15, span: float = 3.0) -> list[bool]:
+    """Which of a row's tokens are noise: spans and gaps of random lengths in turn, beginning with a gap."""
+    import numpy as np
+
+    noise = min(max(round(length * density), 1), length - 1) if length > 1 else 0
+    if not noise:
+        return [False] * length
+    spans = min(max(round(noise / span), 1), noise, length - noise)
+    rng = np.random.default_rng(seed)
+    cut = lambda n: np.diff([0, *sorted(rng.choice(np.arange(1, n), spans - 1, replace=False)), n])
+    out: list[bool] = []
+    for keep, drop in zip(cut(length - noise), cut(noise), strict=True):
+        out += [False] * int(keep) + [True] * int(drop)
+    return out

@@ -132,7 +132,7 @@ def space_fractions(c: str | Column) -> Column:
 
 
 def is_unavailable(c: str | Column) -> Column:
-    return F.lower(normalize_ws(c)).isin("(unavailable)", "unavailable")
+    return F.lower(normalize_ws(c)) == "unavailable"
 
 
 def is_empty(c: str | Column) -> Column:

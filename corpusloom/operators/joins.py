@@ -71,6 +71,12 @@ def cache_split(requests: DataFrame, cache: DataFrame, keys: Sequence[str], payl
     return requests.join(cache.select(*keys, payload), list(keys)), requests.join(cache.select(*keys), list(keys), "left_anti")
 
 
+def fill_from(df: DataFrame, id_col: str, col: str, keys: Column, table: DataFrame, key: str, value: str, missing: str = "(unavailable)") -> DataFrame:
+    """col where it is not blank, else the value of the first of the row's keys that the table has, else a mark."""
+    found = priority_lookup(df.select(id_col, keys.alias("__keys")), id_col, F.col("__keys"), table.select(key, F.col(value).alias("__found")), key, "__found").select(id_col, "__found")
+    return df.join(found, id_col, "left").withColumn(col, F.coalesce(F.when(strip(F.col(col)) != "", F.col(col)), F.col("__found"), F.lit(missing))).drop("__found")
+
+
 def override(df: DataFrame, table: DataFrame, key: str, col: str) -> DataFrame:
     """col replaced where a small table of exceptions has the key."""
     small = maybe_broadcast(table.select(key, F.col(col).alias("__o")))

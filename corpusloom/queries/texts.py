@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import arrays, gaps, ids, numbers, profiles, text
+from corpusloom.functions import arrays, cleaners, gaps, ids, numbers, profiles, text
 from corpusloom.operators import consensus, joins
 from corpusloom.plans import corpus
 from corpusloom.queries.relational import T
+from corpusloom.sources import pages
 from corpusloom.streaming import rounds
 
 
@@ -179,6 +180,33 @@ def retry_rounds(s, sf):
     return rounds.until_accepted(d, answer, "text", "doc_id", F.length("answer") >= F.least(F.lit(20), F.length("text")), 3)
 
 
+def line_markers(s, sf):
+    d = T(s, sf, "documents").select("doc_id", F.concat(F.lit("1-3) "), F.substring("text", 1, 40), F.lit(" 4'-5' and 12 (6) end")).alias("t"))
+    return d.select("doc_id", cleaners.drop_line_markers("t").alias("t"))
+
+
+def extracted_texts(s, sf):
+    d = T(s, sf, "documents").select("doc_id", F.concat(F.lit("1-3) [Rest Vs. abgebr.] "), F.substring(F.regexp_replace("text", "[!%]", ""), 1, 60), F.lit(" a<sub>2</sub> x … 1/2 m Spuren")).alias("t"), F.when(F.col("doc_id") % 2 == 0, "AKT 7B").otherwise("AKT 1").alias("v"))
+    return d.select("doc_id", cleaners.cleaned_translation("t").alias("target_text"), cleaners.cleaned_transliteration("t", "v").alias("source_text"), cleaners.drop_leading_summary("t").alias("body"))
+
+
+def sup_sub_html(s, sf):
+    p = T(s, sf, "pages").select("page_id", F.concat(F.substring("url", 1, 12), F.lit(" a<sup>ki</sup> u<SUB>3</sub> <sup>")).alias("t"))
+    return p.select("page_id", cleaners.sup_sub_to_unicode("t").alias("t"))
+
+
+def text_lines(s, sf):
+    c = T(s, sf, "conversations")
+    rects = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.lit(1).alias("page"), F.substring("text", 1, 12).alias("text"), (F.col("turn") % 3 * 50).cast("double").alias("x0"), (F.col("turn") * 1.5).alias("y0"), (F.col("turn") % 3 * 50 + 40).cast("double").alias("x1"), (F.col("turn") * 1.5 + 2).alias("y1"))
+    return pages.text_lines(rects)
+
+
+def fallback_fill(s, sf):
+    d = T(s, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"))
+    table = T(s, sf, "labels").select(F.col("doc_id").alias("k"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("v"))
+    return joins.fill_from(d, "doc_id", "lang", F.array("doc_id", F.col("doc_id") + 1), table, "k", "v")
+
+
 _WS = r"trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')"
 _DEDUP = r"array_to_string(list_transform(list_filter(list_zip(w, list_prepend('', w)), lambda p: p[1] IS DISTINCT FROM p[2] AND p[1] IS NOT NULL), lambda p: p[1]), ' ')"
 _CLEAN = f"SELECT *, CASE WHEN flat = '' THEN '' ELSE {_DEDUP} END AS clean FROM (SELECT *, {_WS} AS flat, string_split({_WS}, ' ') AS w FROM {{}})"
@@ -202,6 +230,11 @@ TABLE = {
     "decimals": (decimals, "SELECT doc_id, 'a ' || CASE WHEN doc_id % 7 = 4 THEN (doc_id % 3) || '.66' WHEN doc_id % 7 = 2 AND doc_id % 3 > 0 THEN (doc_id % 3) || '.35' ELSE CASE WHEN doc_id % 3 = 0 THEN '' ELSE (doc_id % 3) || ' ' END || ['¼', '½', '⅓', '⅔', '', '¾', '⅚'][doc_id % 7 + 1] END || ' b' AS t FROM documents"),
     "roman": (roman, "SELECT doc_id, 'k ' || ['I', '2', '3', '4', '5', '6', '7', '8', '9', '10', '11', '12', 'XIII', 'XIV'][doc_id % 14 + 1] || ' m' AS t FROM documents"),
     "fractions": (fractions, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR doc_id % 4 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'month ' ELSE 'x ' END || (doc_id % 4) || ' / 4 y' ELSE 'x ' || ['', '¼', '', '¾'][doc_id % 4 + 1] || ' y' END AS spaced, CASE WHEN doc_id % 2 = 0 THEN 'month ' || CASE WHEN doc_id % 4 = 2 THEN '2 / 4' ELSE '0 / 4' END || ' y' ELSE 'x ' || ['', '¼', '', '¾'][doc_id % 4 + 1] || ' y' END AS compact FROM documents"),
+    "line_markers": (line_markers, "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text[1:40] || ' and 12 end', '\\([0-9]+\\)', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM documents"),
+    "extracted_texts": (extracted_texts, None),
+    "sup_sub_html": (sup_sub_html, "SELECT page_id, url[1:12] || ' aᵏⁱ u₃ ' AS t FROM pages"),
+    "text_lines": (text_lines, None),
+    "fallback_fill": (fallback_fill, "SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN lang END, 'q' || a.quality, 'q' || b.quality, '(unavailable)') AS lang FROM documents d LEFT JOIN labels a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.doc_id + 1"),
     "profile_main": (_profile("main"), None),
     "profile_pipeline": (_profile("pipeline"), None),
     "profile_corpus": (_profile("corpus"), None),

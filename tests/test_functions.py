@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.functions import arrays, gaps, ids, metrics, numbers, profiles, text
+from corpusloom.functions import arrays, cleaners, gaps, ids, metrics, numbers, profiles, text
 
 
 @pytest.fixture
@@ -108,3 +108,32 @@ def test_properties(spark, texts):
         assert r["w"] == r["w2"] and r["d"] == r["d2"] and r["g"] == r["g2"]
         assert len(r["c"]) <= 9 or " " not in r["c"]
         assert r["g"].count("<gap>") <= r["t"].count("<gap>")
+
+
+@pytest.mark.parametrize(
+    "function, given_text, expected",
+    [
+        (cleaners.drop_line_markers, "1-3) the 4'-5' man , 12 (6) ¹⁻⁴Foo 1-2, 13-17", "the man, 12 Foo"),
+        (cleaners.drop_translation_notes, "a (Rest Vs. abgebr.) b Uebersetzung lohnt nicht. c 3-4 Zz. d", "a b c d"),
+        (cleaners.drop_transliteration_notes, "a-na obv. šu seal impression kà l.e. ma", "a-na šu kà ma"),
+        (cleaners.drop_terminal_notes, "the end , weitgehend. ", "the end,"),
+        (cleaners.sup_sub_to_unicode, "a<sup>k<sub>2</sub>i</sup> <sup>", "aᵏ₂ⁱ "),
+        (cleaners.drop_superscripts, "ᵈUTU aᵏⁱ bˡ", "{d}UTU a{ki} b"),
+        (cleaners.drop_leading_summary, "X tarafından yazdığı\n1-3) um a", "1-3) um a"),
+        (cleaners.drop_leading_summary, "mektuptur um-ma A", "um-ma A"),
+        (cleaners.drop_leading_summary, "no cue\n1-3) um", "no cue 1-3) um"),
+        (cleaners.cleaned_translation, "1-3) „the [man]” x … 1/2 mina Spuren", '"the man" <gap> ½ mina'),
+        (lambda c: cleaners.cleaned_transliteration(c, F.lit("akt 7B")), "⸢a-na⸣ [x] 1/2 aᵏⁱ ...", "a-na <gap> ½ a{ki} <gap>"),
+        (lambda c: cleaners.cleaned_transliteration(c, F.lit("AKT 1")), "⸢a-na⸣ [x] Rs.", "a-na [x]"),
+        (gaps.normalize_gaps, "a x - [gap] b … ...c", "a <gap> b <gap> c"),
+    ],
+)
+def test_cleaners(value, function, given_text, expected):
+    assert value(function(F.col("t")), t=given_text) == expected
+
+
+def test_span_masks():
+    for n in (1, 2, 10, 300):
+        mask = numbers.span_mask(n, n)
+        assert len(mask) == n and (n == 1 or sum(mask) == min(max(round(n * 0.15), 1), n - 1))
+    assert numbers.span_mask(50, 1) == numbers.span_mask(50, 1)

@@ -167,3 +167,27 @@ def test_unions(spark):
     assert unions.extend_pool(a.withColumn("fold", F.lit(0)), b, "id", "m").count() == 2
     assert unions.extend_pool(a.withColumn("fold", F.lit(0)), b, "id").count() == 2
     assert unions.concat_filled(a, b.drop("m")).where("m = ''").count() == 2
+
+
+def test_text_layer_and_strips(spark):
+    import numpy as np
+
+    from corpusloom.sources import pages
+
+    rects = [("p", 1, "b", 30.0, 10.0, 40.0, 12.0), ("p", 1, "a", 0.0, 11.0, 10.0, 13.0), ("p", 1, "c", 41.0, 10.0, 50.0, 12.0), ("p", 1, "low", 0.0, 2.0, 9.0, 4.0), ("p", 1, None, 0.0, 0.0, 1.0, 1.0)]
+    out = pages.text_lines(spark.createDataFrame(rects, "path string, page int, text string, x0 double, y0 double, x1 double, y1 double"))
+    assert [r["text"] for r in out.orderBy("line_no").collect()] == ["a bc", "low"]
+    files = spark.createDataFrame([("f", bytearray(b"xy"), 2, 3)], "path string, content binary, first_page int, last_page int")
+    images = pages.render_pages(pages.page_rows(files), lambda content, page, dpi: content * page)
+    assert {(r["page"], bytes(r["image"])) for r in images.collect()} == {(2, b"xyxy"), (3, b"xyxyxy")}
+    image = np.full((100, 8), 255, np.uint8)
+    image[50] = 0
+    assert pages.crop_rows(image).shape == (21, 8) and pages.stitch([image, image[:, :4]]).shape == (62, 8)
+
+
+def test_every_function_takes_nulls(spark):
+    from corpusloom.functions import cleaners
+
+    df = spark.createDataFrame([(None,), ("",)], "t string")
+    for f in (cleaners.drop_line_markers, cleaners.cleaned_translation, cleaners.drop_leading_summary, cleaners.sup_sub_to_unicode):
+        assert {r["v"] for r in df.select(f("t").alias("v")).collect()} <= {None, ""}
