@@ -13,17 +13,30 @@ from corpusloom.session import materialize
 TAG_BYTES, SEPARATOR_BYTES = 22, 7
 
 
-def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index", offset: int = 0) -> DataFrame:
-    """A gapless global index in that order, without a single-task sort.
+def grouped_index(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "row_index", offset: int = 0) -> DataFrame:
+    """A gapless index inside each group in that order, without gathering a group in one task.
 
-    A range exchange sorts the rows over partitions; each partition's number of rows, one row for each, gives its start.
+    A range exchange spreads the rows over the whole order, so a group with a third of all rows is split; the rows of each
+    group in each partition, counted, give every partition its start in the group.
     """
-    ranged = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "row-index")
-    totals = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
-    before = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select(F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.join(starts, F.col("__part") == F.col("__p")).withColumn(name, F.col("__start") + inside - 1 + offset).drop("__part", "__p", "__start")
+    cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    keys = {f"__o{n}": c for n, c in enumerate(cols)}
+    ranged = df.withColumns(keys).repartitionByRange(*groups, *keys).withColumn("__part", F.spark_partition_id())
+    ranged = materialize(ranged, "grouped-index")
+    totals = ranged.groupBy("__part", *groups).agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g{n}") for n, g in enumerate(groups)], F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part", *groups).orderBy(*keys))
+    same = F.col("__part") == F.col("__p")
+    for n, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{n}"))
+    indexed = ranged.withColumn("__in", inside).join(starts, same)
+    return indexed.select(*df.columns, (F.col("__start") + F.col("__in") - 1 + offset).alias(name))
+
+
+def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index", offset: int = 0) -> DataFrame:
+    """A gapless global index in that order, without a single-task sort: one group."""
+    return grouped_index(df, [], order, name, offset)
 
 
 def context_prefix(df: DataFrame, group: str, order: Sequence[str], text: str, previous: int, max_bytes: int = 0, name: str = "context") -> DataFrame:
@@ -65,8 +78,8 @@ def quantile_bin(df: DataFrame, value: str, order: Sequence[str], bins: int, nam
 
 def spread_folds(df: DataFrame, bin_col: str, id_col: str, folds: int, seed: int = 42, name: str = "fold") -> DataFrame:
     """Rows of a bin dealt round robin to the folds in the order of a hash: sizes in a bin differ by one at most."""
-    shuffled = Window.partitionBy(bin_col).orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col)
-    return df.withColumn(name, ((F.row_number().over(shuffled) - 1) % folds).cast("int"))
+    dealt = grouped_index(df, [bin_col], [seeded_order(id_col, seed), id_col], "__i")
+    return dealt.withColumn(name, (F.col("__i") % folds).cast("int")).drop("__i")
 
 
 def _greedy(folds: int):
