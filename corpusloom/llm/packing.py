@@ -12,7 +12,6 @@ are packed as separate documents; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,10 +29,9 @@ END_ID = 1
 PACK = 50_000
 ROUNDS = 4
 #: Words kept with their ids in each Python worker; about 200 bytes each. Beyond that all are dropped and met anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 #: Texts whose new words are encoded in one call.
 TEXTS_AT_ONCE = 64
-MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|\Z)")
 
 
 class WordTokens:
@@ -48,19 +46,29 @@ class WordTokens:
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
         self.ends[ends] = True
+        self.marks = {ord(c): self._ids(c).tobytes() for c in ".,"}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def learn(self, words: list[bytes]) -> None:
-        """Words of letters only are one piece each, whose last id marks its end: they are encoded together."""
-        plain, other = [], []
+        """Words of letters only are one piece each, whose last id marks its end: they are encoded together.
+
+        A point or comma at a word's end, after an ASCII letter or digit, is a piece of its own.
+        """
+        plain, other, ended, seen = [], [], [], set()
         for w in words:
-            text = w.decode()
-            (plain if text.isalpha() else other).append(text)
+            core = w
+            if w[-1] in self.marks and len(w) > 1 and (97 <= w[-2] <= 122 or 48 <= w[-2] <= 57):
+                core = w[:-1]
+                ended.append(w)
+            if core not in self.known and core not in seen:
+                seen.add(core)
+                text = core.decode()
+                (plain if text.isalpha() else other).append(text)
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
-            ids = self._ids(" ".join(some))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(some):
                 other += some
@@ -71,23 +79,25 @@ class WordTokens:
                 low = high
         for text, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.known[text.encode()] = np.array(e.ids, dtype="<u4").tobytes()
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The texts' ids as little-endian unsigned 32-bit numbers.
 
-        A point or comma after an ASCII letter or digit and before white space is a token of its own and is set apart
-        first. Special tokens are found before lower-casing: texts that may hold one are encoded whole.
+        Special tokens are found before lower-casing: texts that may hold one are encoded whole.
         """
         raw = [(t or "").encode() for t in texts]
         special = [b"<|" in r for r in raw]
-        words = [[] if s else MARK.sub(rb" \1", r.lower()).split() for r, s in zip(raw, special, strict=True)]
+        words = [[] if s else r.lower().split() for r, s in zip(raw, special, strict=True)]
         if len(self.known) > self.limit:
             self.known.clear()
         found = [list(map(self.known.get, w)) for w in words]
         new = list({w for ws, fs in zip(words, found, strict=True) if None in fs for w, f in zip(ws, fs, strict=True) if f is None})
         if new:
             self.learn(new)
-            found = [list(map(self.known.__getitem__, w)) if None in f else f for w, f in zip(words, found, strict=True)]
+            known = self.known
+            found = [[x if x is not None else known[w] for w, x in zip(ws, fs, strict=True)] if None in fs else fs for ws, fs in zip(words, found, strict=True)]
         return [self._ids(t or "").tobytes() if s else b"".join(f) for t, s, f in zip(texts, special, found, strict=True)]
 
 
