@@ -36,10 +36,10 @@ WINDOW = 24
 TRAIN_DOCS = 1500
 TRAIN_WINDOWS = 32
 LEAST = 4
-EPOCHS = 6
+EPOCHS = 8
 BATCH = 256
 RATE = 1.0
-STRONGEST = 2
+STRONGEST = 3
 SEED = 5
 THRESHOLD = 0.7
 CACHE_WORDS = 200_000
@@ -74,6 +74,13 @@ def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return np.concatenate(out), np.concatenate(of)
 
 
+def in_parts(words: list[str], buckets: int = BUCKETS, part: int = 20_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Start, number of words, and subwords() of one part of the words after another, to bound memory."""
+    for at in range(0, len(words), part):
+        some = words[at : at + part]
+        yield at, len(some), *subwords(some, buckets)
+
+
 def counted_once(words: list, window: int = WINDOW) -> list[bool]:
     """Whether each word counts: not if the same word counted less than a window before, so repeats don't add up."""
     last: dict = {}
@@ -96,11 +103,13 @@ class Model:
     b: float
 
     def word_shares(self, words: list[str]) -> np.ndarray:
-        bucket, of = subwords(words, len(self.share))
-        value = self.share[bucket]
-        known = ~np.isnan(value)
-        total = np.bincount(of[known], weights=value[known], minlength=len(words))
-        return total / np.maximum(np.bincount(of[known], minlength=len(words)), 1)
+        out = np.empty(len(words))
+        for at, some, bucket, of in in_parts(words, len(self.share)):
+            value = self.share[bucket]
+            known = ~np.isnan(value)
+            total = np.bincount(of[known], weights=value[known], minlength=some)
+            out[at : at + some] = total / np.maximum(np.bincount(of[known], minlength=some), 1)
+        return out
 
     def logit(self, shares: np.ndarray, window: int = WINDOW) -> float:
         """Of the strongest passage."""
@@ -129,14 +138,21 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPO
             doc_of.append(d)
     docs, label = np.array(doc_of), np.array(labels, dtype=np.float32)
     toxic = label[docs] > 0
-    bucket, of = subwords(list(index) or [""])
-    # The documents that hold an n-gram, counted by passages.
-    uses = np.bincount(np.concatenate(passages), minlength=max(len(index), 1)) if passages else np.zeros(1)
-    seen = np.bincount(bucket, weights=uses[of], minlength=BUCKETS)
-    known = seen[bucket] >= LEAST
-    order = np.argsort(of[known], kind="stable")
-    bucket, of = bucket[known][order], of[known][order]
-    size = np.bincount(of, minlength=max(len(index), 1))
+    vocabulary = list(index) or [""]
+    # How often an n-gram occurs, counted by passages.
+    uses = np.bincount(np.concatenate(passages), minlength=len(vocabulary)) if passages else np.zeros(1)
+    seen = np.zeros(BUCKETS)
+    for at, some, b, o in in_parts(vocabulary):
+        seen += np.bincount(b, weights=uses[at : at + some][o], minlength=BUCKETS)
+    parts = []
+    for at, _, b, o in in_parts(vocabulary):
+        known = seen[b] >= LEAST
+        order = np.argsort(o[known], kind="stable")
+        parts.append((b[known][order].astype(np.int32), (o[known][order] + at).astype(np.int32)))
+    bucket, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    size = np.bincount(of, minlength=len(vocabulary))
+    del of
     first = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
@@ -170,7 +186,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPO
     use = np.ones(len(passages), bool)
     for epoch in range(epochs):
         if epoch >= epochs // 3:  # the strongest passages of toxic documents stand for them
-            p = np.concatenate([forward(some)[1] for some in np.array_split(np.arange(len(passages)), max(1, len(passages) // 2048))])
+            p = np.concatenate([forward(some)[1] for some in np.array_split(np.arange(len(passages)), max(1, len(passages) // 512))])
             by = np.lexsort((-p, docs))
             rank = np.empty(len(docs), np.int64)
             rank[by] = np.arange(len(docs)) - np.searchsorted(docs[by], docs[by])
@@ -192,7 +208,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPO
     share = (table @ (weight[:, 1] - weight[:, 0])).astype(np.float64)
     share[seen < LEAST] = np.nan
     model = Model(share, float(bias[1] - bias[0]), 1.0, 0.0)
-    shares = model.word_shares(list(index) or [""])
+    shares = model.word_shares(vocabulary)
     split = [words_of(text) for text in texts]
     at = np.array([model.logit(shares[[index[w] for w in words]] * counted_once(words)) for words in split])
     # Platt's targets keep the two numbers finite where the labels are separable.
