@@ -38,7 +38,7 @@ from corpusloom.llm.components import components
 THRESHOLD = 0.93
 BITS = 60
 WINDOW = 64
-MISS = 1e-4
+MISS = 1e-5
 #: Passes that share an exchange, at most.
 PASSES_AT_ONCE = 6
 BLOCK = 512
