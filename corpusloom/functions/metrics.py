@@ -13,7 +13,11 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+
 CHAR_ORDER, WORD_ORDER, BETA, BLEU_ORDER = 6, 2, 2.0, 4
+#: From that many characters on, n-grams are counted in numpy.
+LONG = 400
 PUNCTUATION = re.compile(r"^([^\w\s])(.+)$|^(.+)([^\w\s])$")
 
 
@@ -21,6 +25,27 @@ def _ngrams(items: Sequence, n: int) -> Counter:
     return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
 
 
+def _shared_runs(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two bags of numbers."""
+    (u, m), (v, n) = (np.unique(z, return_counts=True) for z in (x, y))
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return int(np.minimum(m[i], n[j]).sum())
+
+
+def _char_counts(a: str, b: str) -> list[int]:
+    """As by Counter, for long texts: n-grams as 64-bit hashes made from those one shorter."""
+    sides = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) for t in (a, b)]
+    grams = [np.zeros(len(s), np.uint64) for s in sides]
+    out = []
+    for n in range(1, CHAR_ORDER + 1):
+        for k, s in enumerate(sides):
+            ahead = s[n - 1 :]
+            h = (grams[k][: len(ahead)] ^ (ahead + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            grams[k] = h ^ (h >> np.uint64(29))
+        out += [len(grams[0]), len(grams[1]), _shared_runs(*grams)]
+    return out
+
+
 def _words(text: str) -> list[str]:
     """Words with one punctuation mark at an end set apart."""
     out = []
@@ -33,7 +58,11 @@ def _words(text: str) -> list[str]:
 def chrf_counts(candidate: str, reference: str) -> list[int]:
     """For every order: n-grams of the candidate, of the reference, and shared. Sums over texts give corpus scores."""
     out = []
-    sides = [("".join(candidate.split()), "".join(reference.split()), CHAR_ORDER), (_words(candidate), _words(reference), WORD_ORDER)]
+    a, b = "".join(candidate.split()), "".join(reference.split())
+    sides = [(a, b, CHAR_ORDER), (_words(candidate), _words(reference), WORD_ORDER)]
+    if min(len(a), len(b)) >= LONG:
+        out = _char_counts(a, b)
+        del sides[0]
     for a, b, most in sides:
         for n in range(1, most + 1):
             x, y = _ngrams(a, n), _ngrams(b, n)

@@ -137,3 +137,18 @@ def test_span_masks():
         mask = numbers.span_mask(n, n)
         assert len(mask) == n and (n == 1 or sum(mask) == min(max(round(n * 0.15), 1), n - 1))
     assert numbers.span_mask(50, 1) == numbers.span_mask(50, 1)
+
+
+def test_long_texts_count_alike():
+    import random
+
+    rng = random.Random(0)
+    a, b = ("".join(rng.choice("abc é") for _ in range(900)) for _ in range(2))
+    plain = metrics.chrf_counts(a[:300], b[:300])
+    metrics.LONG, kept = 1, metrics.LONG
+    assert metrics.chrf_counts(a[:300], b[:300]) == plain
+    metrics.LONG = kept
+    long = metrics.chrf_counts(a, b)
+    metrics.LONG = 10**9
+    assert metrics.chrf_counts(a, b) == long
+    metrics.LONG = kept
