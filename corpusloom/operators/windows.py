@@ -14,7 +14,7 @@ TAG_BYTES, SEPARATOR_BYTES = 22, 7
 
 
 def grouped_index(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "row_index", offset: int = 0) -> DataFrame:
-    """A gapless index inside each group in that order, without gathering a group in one task.
+    """A gapless index inside each group in that (ascending) order, without gathering a group in one task.
 
     A range exchange spreads the rows over the whole order, so a group with a third of all rows is split; the rows of each
     group in each partition, counted, give every partition its start in the group.

@@ -191,3 +191,46 @@ def test_every_function_takes_nulls(spark):
     df = spark.createDataFrame([(None,), ("",)], "t string")
     for f in (cleaners.drop_line_markers, cleaners.cleaned_translation, cleaners.drop_leading_summary, cleaners.sup_sub_to_unicode):
         assert {r["v"] for r in df.select(f("t").alias("v")).collect()} <= {None, ""}
+
+
+def test_index_inside_a_hot_group(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).when(F.col("id") % 3 == 1, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"))
+    out = windows.grouped_index(df, ["g"], [-F.col("id")], "n").collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["g"], []).append((r["n"], r["id"]))
+    for rows in by.values():
+        rows.sort()
+        assert [n for n, _ in rows] == list(range(len(rows)))
+        assert [i for _, i in rows] == sorted((i for _, i in rows), reverse=True)
+
+
+def test_splits_do_not_share_pairs(spark):
+    df = spark.createDataFrame([(k, f"a{k % 7}", f"b{k % 5}", "valid" if k % 3 else "train") for k in range(100)], "id long, a string, b string, split string")
+    out = dedup.across_splits(df, ["a", "b"], F.when(F.col("split") == "train", 0).otherwise(1), "id")
+    pairs = {s: {(r["a"], r["b"]) for r in out.where(F.col("split") == s).collect()} for s in ("train", "valid")}
+    assert not pairs["train"] & pairs["valid"] and len(pairs["train"] | pairs["valid"]) == 35
+
+
+def test_samples_are_seeded(spark):
+    df = spark.range(300)
+    a, b = ([r["id"] for r in windows.seeded_sample(df.repartition(n), "id", 20, seed=3).collect()] for n in (1, 7))
+    assert sorted(a) == sorted(b) and len(a) == 20
+    assert sorted(a) != sorted(r["id"] for r in windows.seeded_sample(df, "id", 20, seed=4).collect())
+
+
+def test_ranges_collect_lines_in_order(spark):
+    lines = spark.createDataFrame([("r", n, f"l{n}") for n in (3, 1, 2, 10)], "k string, line int, t string")
+    ranges = spark.createDataFrame([("r", 1, 2), ("r", 3, 10), ("q", 1, 2)], "k string, low int, high int")
+    out = {(r["low"], r["t"]) for r in joins.collect_ranges(ranges, lines, ["k"], "low", "high", "line", "t").collect()}
+    assert out == {(1, "l1 l2"), (3, "l3 l10")}
+
+
+def test_fill_and_overrides(spark):
+    df = spark.createDataFrame([(1, "x"), (2, " "), (3, None)], "id long, t string")
+    table = spark.createDataFrame([(2, "two"), (9, "nine")], "k long, v string")
+    out = joins.fill_from(df, "id", "t", F.array("id", F.col("id") * 3), table, "k", "v")
+    assert {tuple(r) for r in out.select("id", "t").collect()} == {(1, "x"), (2, "two"), (3, "nine")}
+    missing = joins.fill_from(df, "id", "t", F.array("id"), table, "k", "v").where("id = 3").first()["t"]
+    assert missing == "(unavailable)"
+    assert joins.override(df, spark.createDataFrame([(1, "o")], "id long, t string"), "id", "t").where("id = 1").first()["t"] == "o"
