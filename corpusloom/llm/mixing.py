@@ -2,10 +2,11 @@
 
 Every source gets a target number of words (water filling under a cap per source); each of its documents should then be
 taken target / size-of-source times. The integral part is taken outright, the fractional parts are rounded together:
-two documents at a time pass mass to one another, at random and without drift, until one of them is integral. The mass
-is counted in words, so a pair's expected words stay the same and a source's total misses its target by less than one
-document. Chunks of CHUNK documents are rounded in parallel; the one fractional document each leaves goes up a
-reduction tree of fan-in FAN_IN until each source has one, which is rounded by itself.
+a document and its partner pass mass to one another, at random and without drift, until one of them is integral. The mass
+is counted in words, so the words of a pair stay the same. The largest document is paired first; its partner is the pool
+of all smaller ones, which has the mass to make it integral, so what stays fractional at last is a small document and a
+source misses its target by less than that. Chunks of CHUNK documents are rounded in parallel; the one fractional document
+each leaves goes up a reduction tree of fan-in FAN_IN until each source has one, which is rounded by itself.
 
 Chunks depend on a hash of the id, pairs on the order of ids, draws on a seed for each chunk: reruns agree.
 
@@ -55,28 +56,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
 
 def _pivot(seed: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Rounds a chunk; all rows but one at most become integral."""
-        pdf = pdf.sort_values(["id", "size", "p"], kind="stable", ignore_index=True)
+        """Rounds a chunk, the largest document first; all rows but one at most become integral."""
+        pdf = pdf.sort_values(["size", "id", "p"], ascending=[False, True, True], kind="stable", ignore_index=True)
         name = f"{seed}|{level}|{pdf['source'].iat[0]!r}|{pdf['chunk'].iat[0]}"
         draws = np.random.default_rng(zlib.crc32(name.encode())).random(len(pdf)).tolist()
         p, size = pdf["p"].tolist(), pdf["size"].tolist()
-        at = -1
-        for k, b in enumerate(p):
-            if not 0.0 < b < 1.0:
-                continue
-            if at < 0:
-                at = k
-                continue
-            a, ratio = p[at], size[k] / size[at]
-            up, down = min(1.0 - a, b * ratio), min(a, (1.0 - b) * ratio)
+        open_ones = [k for k, x in enumerate(p) if 0.0 < x < 1.0]
+        # The pool: words of the smaller documents that are open, and those of them that are to be taken. What the pool has
+        # passed on or taken in so far changes a member's probability x to scale * x + shift.
+        words, taken = float(sum(size[k] for k in open_ones)), sum(size[k] * p[k] for k in open_ones)
+        scale, shift = 1.0, 0.0
+        for k in open_ones:
+            x = scale * p[k] + shift
+            words -= size[k]
+            taken = min(max(taken - size[k] * x, 0.0), words)
+            up, down = min(1.0 - x, taken / size[k]), min(x, (words - taken) / size[k])
             if draws[k] * (up + down) < down:
-                a, b = (1.0, b - up / ratio) if up == 1.0 - a else (a + up, 0.0)
+                left = taken - up * size[k]
+                factor = left / taken if taken > 0 else 1.0
+                x, taken, scale, shift = x + up, left, scale * factor, shift * factor
             else:
-                a, b = (0.0, b + down / ratio) if down == a else (a - down, 1.0)
-            # What is left below one part in 10^12 of a document is rounding error of the arithmetic.
-            a, b = (round(x) if min(x, 1.0 - x) < 1e-12 else x for x in (a, b))
-            p[at], p[k] = a, b
-            at = k if 0.0 < b < 1.0 else at if 0.0 < a < 1.0 else -1
+                room = words - taken
+                factor = (room - down * size[k]) / room if room > 0 else 1.0
+                x, taken, scale, shift = x - down, taken + down * size[k], scale * factor, shift * factor + 1.0 - factor
+            # What is left below one part in 10^9 of a document is rounding error of the arithmetic.
+            p[k] = float(round(x)) if min(x, 1.0 - x) < 1e-9 else x
         pdf["p"] = p
         return pdf
 

@@ -73,3 +73,13 @@ def test_stage_repeats_documents(spark, messy):
     counts = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert counts[2] == counts[3] == 1  # no words: kept once
     assert all(counts.get(i, 0) == c * (2 if i == 5 else 1) for i, c in copies.items() if i != 5)
+
+
+def test_sources_meet_their_targets_closely(spark):
+    """What is left over is a small document, even beside very long ones."""
+    df = spark.range(9000).selectExpr("id AS doc_id", "repeat('w ', int(IF(id % 1000 < 3, 20000, 5 + id % 90))) AS text", "concat('s', id % 3) AS source")
+    taken, aims = {}, {}
+    for r in mixing.mix(df).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["copies"]
+        aims[r["source"]] = r["target"]
+    assert all(abs(taken[s] - aims[s]) <= 100 for s in aims)
