@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import _col
+from corpusloom.functions.text import _col, bind
 
 # Fractions and their characters.
 FRACTIONS = {
@@ -44,64 +44,69 @@ def decimal_fractions(c: str | Column) -> Column:
     replaced, and the parts are put together again.
     """
     number = r"(?U)\b[0-9]+\.[0-9]+\b"
-    c = _col(c)
 
-    def glyph(token: Column) -> Column:
-        whole, part = F.floor(token.cast("double")), token.cast("double") - F.floor(token.cast("double"))
+    def value(x: Column, token: Column) -> Column:
+        whole, part = F.floor(x), x - F.floor(x)
         found = F.when((part > 0.25) & (part <= 0.35), "⅓").when((part >= 0.55) & (part < 0.65), "⅔")
-        for sign, value in DECIMALS:
-            found = found.when(F.abs(part - value) <= 1e-3, sign)
+        for sign, near in DECIMALS:
+            found = found.when(F.abs(part - near) <= 1e-3, sign)
         found = found.when(F.abs(part - 2 / 3) <= 1e-3, "⅔").when(F.abs(part - 1 / 3) <= 1e-3, "⅓")
-        return F.when(found.isNull(), token).when(whole == 0, found).otherwise(F.concat(whole.cast("string"), F.lit(" "), found))
+        return bind(found, lambda f: F.when(f.isNull(), token).when(whole == 0, f).otherwise(F.concat(whole.cast("string"), F.lit(" "), f)))
+
+    def glyph(token: Column) -> Column:
+        return bind(token.cast("double"), lambda x: value(x, token))
+
+    def whole_text(t: Column) -> Column:
+        tokens = F.transform(F.regexp_extract_all(t, F.lit(number), F.lit(0)), glyph)
+        parts = F.split(t, number, -1)
+        rest = lambda p: F.zip_with(tokens, F.slice(p, 2, 1 << 30), lambda token, part: F.concat(token, part))
+        return F.when(t.rlike(number), bind(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(rest(p), "")))).otherwise(t)
+
+    return bind(_col(c), whole_text)
+
 
-    tokens = F.transform(F.regexp_extract_all(c, F.lit(number), F.lit(0)), glyph)
-    rest = F.zip_with(tokens, F.slice(F.split(c, number, -1), 2, 1 << 30), lambda token, part: F.concat(token, part))
-    joined = F.concat(F.get(F.split(c, number, -1), F.lit(0)), F.array_join(rest, ""))
-    return F.when(c.rlike(number), joined).otherwise(c)
+def _where(c: str | Column, gate: str, pairs: list[tuple[str, str]]) -> Column:
+    """Replacements one after another, in the texts that can match any of them."""
+
+    def chain(t: Column) -> Column:
+        out = t
+        for pattern, to in pairs:
+            out = F.regexp_replace(out, pattern, to)
+        return F.when(t.rlike(gate), out).otherwise(t)
+
+    return bind(_col(c), chain)
 
 
 def roman_numerals(c: str | Column, most: int = 12) -> Column:
     """II to `most` as numbers, with or without "th"; I stays."""
-    out = _col(c)
-    for n in sorted(range(2, most + 1), key=lambda n: -len(_roman(n))):
-        out = F.regexp_replace(out, rf"(?U)\b{_roman(n)}(?:th)?\b", str(n))
-    return out
+    order = sorted(range(2, most + 1), key=lambda n: -len(_roman(n)))
+    return _where(c, "[VX]|II", [(rf"(?U)\b{_roman(n)}(?:th)?\b", str(n)) for n in order])
 
 
 def spaced_fractions(c: str | Column) -> Column:
     """a / b with spaces on both sides as a character, but not after "month "."""
-    out = _col(c)
-    for (a, b), sign in FRACTIONS.items():
-        out = F.regexp_replace(out, rf"(?U)(?<![0-9])(?<!(?i:month)\s{{1,20}})(?<!(?i:month)\s{{1,20}}0{{1,9}})0*{a}\s+/\s+0*{b}(?![0-9])", sign)
-    return out
+    # The look-ahead comes first: the look-behinds cost more and are then rarely tried.
+    after_month = r"(?<!(?i:month)\s{1,20})(?<!(?i:month)\s{1,20}0{1,9})"
+    return _where(c, r"(?U)[0-9]\s+/\s+[0-9]", [(rf"(?U)(?=0*{a}\s+/)(?<![0-9]){after_month}0*{a}\s+/\s+0*{b}(?![0-9])", sign) for (a, b), sign in FRACTIONS.items()])
 
 
 def compact_fractions(c: str | Column, mixed_space: str = " ", signs: str = "/", table: dict | None = None) -> Column:
     """a/b as a character, spaces or not; after a whole number mixed_space comes between."""
-    out = _col(c)
     table = table or FRACTIONS
-    for (a, b), sign in table.items():
-        out = F.regexp_replace(out, rf"(?<![0-9])([0-9]+)\s+0*{a}\s*[{signs}]\s*0*{b}(?![0-9])", f"$1{mixed_space}{sign}")
-    for (a, b), sign in table.items():
-        out = F.regexp_replace(out, rf"(?<![0-9])0*{a}\s*[{signs}]\s*0*{b}(?![0-9])", sign)
-    return out
+    mixed = [(rf"(?<![0-9])([0-9]+)\s+0*{a}\s*[{signs}]\s*0*{b}(?![0-9])", f"$1{mixed_space}{sign}") for (a, b), sign in table.items()]
+    simple = [(rf"(?<![0-9])0*{a}\s*[{signs}]\s*0*{b}(?![0-9])", sign) for (a, b), sign in table.items()]
+    return _where(c, rf"[0-9]\s*[{signs}]\s*[0-9]", mixed + simple)
 
 
 def glued_fractions(c: str | Column) -> Column:
     """Mixed, then glued mixed (11/2 is 1 1/2), then simple fractions."""
-    out = _col(c)
-    for (a, b), sign in FRACTIONS.items():
-        out = F.regexp_replace(out, rf"(?<![0-9/])([0-9]+)\s+0*{a}\s*/\s*{b}(?![0-9])", f"$1 {sign}")
-    for (a, b), sign in FRACTIONS.items():
-        out = F.regexp_replace(out, rf"(?<![0-9/])([0-9]+){a}\s*/\s*{b}(?![0-9])", f"$1 {sign}")
-    return compact_fractions(out)
+    mixed = [(rf"(?<![0-9/])([0-9]+)\s+0*{a}\s*/\s*{b}(?![0-9])", f"$1 {sign}") for (a, b), sign in FRACTIONS.items()]
+    glued = [(rf"(?<![0-9/])([0-9]+){a}\s*/\s*{b}(?![0-9])", f"$1 {sign}") for (a, b), sign in FRACTIONS.items()]
+    return compact_fractions(_where(c, r"[0-9]\s*/\s*[0-9]", mixed + glued))
 
 
 def shekel_fractions(c: str | Column) -> Column:
-    out = _col(c)
-    for pattern, to in SHEKELS:
-        out = F.regexp_replace(out, pattern, to)
-    return out
+    return _where(c, r"/\s*12", list(SHEKELS))
 
 
 def leading_zeros(c: str | Column) -> Column:

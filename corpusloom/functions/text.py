@@ -38,8 +38,11 @@ def bind(value: Column, body) -> Column:
 
 def drop_repeated_words(c: str | Column) -> Column:
     """Words without those equal to the word before; a blank text stays as it is."""
-    kept = bind(words(c), lambda w: F.array_join(F.filter(w, lambda x, i: (i == 0) | (x != F.get(w, i - 1))), " "))
-    return F.when(normalize_ws(c) == "", _col(c)).otherwise(kept)
+
+    def kept(t: Column) -> Column:
+        return bind(words(t), lambda w: F.when(F.size(w) == 0, t).otherwise(F.array_join(F.filter(w, lambda x, i: (i == 0) | (x != F.get(w, i - 1))), " ")))
+
+    return bind(_col(c), kept)
 
 
 def collapse_repeats(c: str | Column) -> Column:

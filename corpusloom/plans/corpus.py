@@ -14,6 +14,7 @@ from corpusloom.operators.filters import first_non_blank, non_blank
 from corpusloom.operators.joins import attach_unique, exclude_known, missing_targets, with_summary
 from corpusloom.operators.unions import concat, minus, tagged
 from corpusloom.operators.windows import quantile_bin, spread_folds
+from corpusloom.session import materialize
 
 
 def clean_and_split(docs: DataFrame, excluded: DataFrame, folds: int = 4, bins: int = 20) -> DataFrame:
@@ -21,7 +22,8 @@ def clean_and_split(docs: DataFrame, excluded: DataFrame, folds: int = 4, bins:
     clean = docs.select("doc_id", "lang", drop_repeated_words(normalize_ws("text")).alias("text"))
     known = excluded.select(drop_repeated_words(normalize_ws("text")).alias("text"))
     unique = first_wins(exclude_known(clean, known, "text"), ["text"], ["doc_id"])
-    sized = unique.select("doc_id", "lang", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"))
+    # Binning reads its input more than once; texts stay behind.
+    sized = materialize(unique.select("doc_id", "lang", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes")), "clean-sizes")
     return spread_folds(quantile_bin(sized, "n_chars", ["doc_id"], bins), "bin", "doc_id", folds)
 
 
@@ -38,7 +40,7 @@ def training_table(train: DataFrame, old: DataFrame, published: DataFrame, exclu
     kept = joined.where(~F.col("id").isin(*excluded)) if excluded else joined
     # Texts are projected once, then measured.
     texts = kept.select("id", normalize(first_non_blank("published_text", "source_text"), profile, "transliteration").alias("source_text"), normalize("target_text", profile, "translation").alias("target_text"))
-    sized = texts.withColumn("ratio", F.length("target_text") / F.nullif(F.length("source_text"), F.lit(0)))
+    sized = materialize(texts.withColumn("ratio", F.length("target_text") / F.nullif(F.length("source_text"), F.lit(0))), "training-texts")
     split = spread_folds(quantile_bin(sized, "ratio", ["id"], 20), "bin", "id", folds)
     return split.select("id", "source_text", "target_text", F.col("fold").cast("byte").alias("fold"))
 
