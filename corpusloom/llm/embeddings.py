@@ -5,9 +5,13 @@ concatenated; the vectors are ordered by group and signs, and each is compared w
 range exchange of the vectors over that order (ties are split by id). Verified pairs of all passes are united; a pass
 hands on no more than one link for each vector, a spanning forest of what its windows found.
 
-Number of passes: a pair at the threshold agrees on one sign with probability p = 1 - acos(threshold) / pi. Windows reach
-as far as the b signs that leave about WINDOW / 2 vectors of the largest group alike, so a pass finds the pair with at least
-p^b; there are as many passes as bring the chance to miss it below MISS. The number grows with the logarithm of the input.
+Number of passes: a pair at the threshold agrees on one sign with probability p = 1 - acos(threshold) / pi. Each pass
+measures how many leading signs b narrow the vectors around a vector down to its window, so it finds a pair of that vector
+with at least p^b; that holds for vectors of any distribution, as those that share a direction only have a larger b. A
+vector is settled when the chance that all passes missed a pair of it is at most MISS. Passes go on, for the groups that
+need them, while they cost less than to compare the unsettled vectors of a group with one another; then these are compared,
+exactly and in blocks. Of them, those within half the threshold's angle of their mean are all linked and not compared
+among themselves.
 
 The links of each vector are then counted exactly inside its component, where all of them must lie. A component of at most
 BLOCK vectors is counted in one task, by a matrix product. A larger one is never gathered: vectors within half the
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, read
-from corpusloom.llm.components import components
+from corpusloom.llm.components import _local_stars, components
 
 THRESHOLD = 0.93
 BITS = 60
@@ -42,6 +46,11 @@ MISS = 1e-5
 #: Passes that share an exchange, at most.
 PASSES_AT_ONCE = 6
 BLOCK = 512
+#: Rows of a block in which unsettled vectors are compared; the cost of a pair in a window, in pairs of a block.
+FINISH_BLOCK = 1024
+WINDOW_COST = 8
+#: The logarithm of the chance to miss a pair whose whole group lies in the window.
+SURE = -1000.0
 SEED = 3
 #: Angles nearer than this to a bound are left to exact comparison.
 SLACK = 1e-6
@@ -88,11 +97,32 @@ def _projected(vectors: DataFrame, passes: list[int], bits: int, seed: int) -> D
     return vectors.mapInArrow(run, "pass int, grp long, key long, id long, dim int, vec binary")
 
 
+def _shared(run_of: np.ndarray, key: np.ndarray, step: int) -> np.ndarray:
+    """Leading signs that each row shares with the row `step` further on: -1 in another group."""
+    x = key[step:] ^ key[:-step]
+    high, low = np.frexp((x >> 30).astype(float))[1], np.frexp((x & (2**30 - 1)).astype(float))[1]
+    return np.where(run_of[step:] == run_of[:-step], BITS - np.where(high > 0, high + 30, low), -1)
+
+
+def log_miss(run_of: np.ndarray, key: np.ndarray, threshold: float, window: int) -> np.ndarray:
+    """Of each row of a partition the logarithm of the chance that this pass misses a pair of it: 0 near its borders."""
+    n, step = len(key), window + 1
+    bits = np.full(n, BITS)  # the most signs shared with a row that is not compared
+    known = np.zeros(n, bool)
+    if n > 2 * step:
+        shared = _shared(run_of, key, step)
+        bits[step:-step] = np.maximum(shared[step:], shared[:-step])
+        known[step:-step] = True
+    found = np.where(known & (bits < BITS), (1 - math.acos(threshold) / math.pi) ** (bits + 1.0), 0.0)
+    return np.where(found == 1.0, SURE, np.log1p(-np.minimum(found, 0.999999)))
+
+
 def _windows(threshold: float, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order; the last `window` ones are kept for the next batch."""
-        table = None
+        """Rows come in order; the last `window` ones are kept for the next batch. Links, then what log_miss says."""
+        table, seen = None, []
         for b in batches:
+            seen.append([b.column(k).to_numpy() for k in range(4)])
             table = pa.Table.from_batches([b]) if table is None else pa.concat_tables([table.slice(max(0, table.num_rows - window)), pa.Table.from_batches([b])])
             part, group, ids, dims = (table.column(c).to_numpy() for c in ("pass", "grp", "id", "dim"))
             run_of = np.cumsum(np.concatenate([[0], (part[1:] != part[:-1]) | (group[1:] != group[:-1])])) if len(ids) else np.zeros(0)
@@ -119,11 +149,80 @@ def _windows(threshold: float, window: int):
                             root[v] = u
                             a.append(ids[at[i]])
                             c.append(ids[at[i + step]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.float64())], names=["a", "b", "grp", "log_miss"])
+        if seen:
+            part, group, key, ids = (np.concatenate(x) for x in zip(*seen, strict=True))
+            run_of = np.cumsum(np.concatenate([[0], (part[1:] != part[:-1]) | (group[1:] != group[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(group), pa.array(log_miss(run_of, key, threshold, window))], names=["a", "b", "grp", "log_miss"])
+
+    return run
+
+
+def _link_block(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Stars of the links between the rows of side 0 (off) and those of side 1."""
+        x = _rows(pa.array(pdf["vec"]), int(pdf["dim"].iat[0]))
+        off, ids = pdf["off"].to_numpy(), pdf["id"].to_numpy()
+        one, two = np.flatnonzero(off), np.flatnonzero(~off)
+        a, b = np.nonzero(x[one] @ x[two].T >= threshold)
+        stars = next(_local_stars([pa.RecordBatch.from_arrays([pa.array(ids[one][a]), pa.array(ids[two][b])], names=["a", "b"])]))
+        return pd.DataFrame({"a": stars.column(0).to_numpy(), "b": stars.column(1).to_numpy()})
 
     return run
 
 
+def exact_links(vectors: DataFrame, threshold: float, block: int = FINISH_BLOCK) -> DataFrame:
+    """vectors: id, grp, dim, vec. a, b: links that join all vectors of a group which are within the threshold."""
+    vectors = vectors.select("id", F.col("grp").alias("cls"), "dim", F.lit(1).cast("long").alias("copies"), "vec")
+    sums = vectors.select("id", "cls", "dim", "vec").mapInArrow(_partial_sums, "cls long, dim int, vec binary")
+    centres = materialize(sums.groupBy("cls").applyInPandas(_centre, "cls long, centre binary"), "unsettled-centres")
+    measured = vectors.join(centres, "cls").select("id", "cls", "dim", "copies", "vec", "centre").mapInArrow(_angles, "id long, cls long, dim int, copies long, vec binary, angle double")
+    measured = materialize(measured.withColumn("core", F.col("angle") <= math.acos(threshold) / 2 - SLACK), "unsettled-angles")
+    totals = materialize(measured.groupBy("cls").agg(F.min(F.when(F.col("core"), F.col("id"))).alias("first"), F.sum((~F.col("core")).cast("long")).alias("n_off"), F.count(F.lit(1)).alias("n_all")), "unsettled-sizes")
+    core = measured.where("core").join(totals, "cls").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / block))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / block) - 1))
+    split = measured.join(totals.where("n_off > 0"), "cls")
+    off = split.where(~F.col("core")).select("id", "cls", "dim", "vec", F.lit(True).alias("off"), part("n_off").alias("p"), every("n_all").alias("q"))
+    rest = split.select("id", "cls", "dim", "vec", F.lit(False).alias("off"), part("n_all").alias("q"), every("n_off").alias("p")).select(*off.columns)
+    return core.unionByName(off.unionByName(rest).groupBy("cls", "p", "q").applyInPandas(_link_block(threshold), "a long, b long"))
+
+
+def all_links(packed: DataFrame, threshold: float, window: int, miss: float, seed: int) -> DataFrame:
+    """packed: id, grp, dim, vec. a, b: links whose components are those of all pairs within the threshold."""
+    sizes = materialize(packed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    at_once = min(PASSES_AT_ONCE, passes_for(sizes.agg(F.max("n")).first()[0] or 0, threshold, window, miss))
+    links, chances, todo, turn = [], None, packed, 0
+    while True:
+        passes = list(range(turn * at_once, (turn + 1) * at_once))
+        turn += 1
+        ordered = _projected(todo, passes, BITS, seed).repartitionByRange("pass", "grp", "key", "id").sortWithinPartitions("pass", "grp", "key", "id")
+        found = materialize(ordered.mapInArrow(_windows(threshold, window), "a long, b long, grp long, log_miss double"), f"passes{turn}")
+        links.append(found.where("b IS NOT NULL").select("a", "b").distinct())
+        new = found.where("b IS NULL").groupBy(F.col("a").alias("u_id"), F.col("grp").alias("u_grp")).agg(F.sum("log_miss").alias("log_miss"), F.count(F.lit(1)).alias("n_rows"))
+        both = new if chances is None else chances.unionByName(new).groupBy("u_id", "u_grp").agg(F.sum("log_miss").alias("log_miss"), F.sum("n_rows").alias("n_rows"))
+        chances = materialize(both, f"chances{turn}")
+        # An id with several vectors has more rows than passes: what it is given is not its own.
+        done = turn * at_once
+        unsettled = chances.where((F.col("log_miss") > math.log(miss)) | (F.col("n_rows") != done))
+        # Passes to go, from the mean of what a pass has brought the unsettled vectors of the group.
+        groups = unsettled.groupBy("u_grp").agg(F.count(F.lit(1)).alias("n_left"), F.avg("log_miss").alias("brought")).join(sizes, F.col("u_grp") == F.col("grp"))
+        to_go = F.greatest(done * (math.log(miss) / F.least("brought", F.lit(-1e-9)) - 1), F.lit(1.0))
+        groups = materialize(groups.select("u_grp", (F.col("n_left").cast("double") * F.col("n_left") > to_go * F.col("n") * window * WINDOW_COST).alias("more")), f"unsettled{turn}")
+        finish = unsettled.join(groups.where("NOT more").select(F.col("u_grp").alias("f_grp")), F.col("u_grp") == F.col("f_grp"), "left_semi")
+        if not groups.where("NOT more").isEmpty():
+            links.append(materialize(exact_links(materialize(todo.join(finish, (F.col("id") == F.col("u_id")) & (F.col("grp") == F.col("u_grp")), "left_semi"), f"finish{turn}"), threshold), f"exact{turn}"))
+        more = groups.where("more").select(F.col("u_grp").alias("m_grp"))
+        if more.isEmpty():
+            break
+        todo = materialize(todo.join(more, F.col("grp") == F.col("m_grp"), "left_semi"), f"todo{turn}")
+        chances = materialize(chances.join(more, F.col("u_grp") == F.col("m_grp"), "left_semi"), f"chances{turn}")
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _degrees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
     """Of each row of x the weight of rows of y within the threshold, exact at its edge."""
     out = np.zeros(len(x), np.int64)
@@ -226,16 +325,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, windo
     else:
         reps = valid.join(equal, (F.col("id") == F.col("rep")) & (F.col("grp") == F.col("g")) & (F.col("digest") == F.col("d")), "left_semi").dropDuplicates(["id", "grp", "digest"])
     packed = materialize(_packed(reps), "unit-vectors")
-    largest = packed.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    passes = list(range(passes_for(largest, threshold, window, miss)))
-    links = []
-    for at in range(0, len(passes), PASSES_AT_ONCE):
-        ordered = _projected(packed, passes[at : at + PASSES_AT_ONCE], BITS, seed).repartitionByRange("pass", "grp", "key", "id").sortWithinPartitions("pass", "grp", "key", "id")
-        links.append(materialize(ordered.mapInArrow(_windows(threshold, window), "a long, b long").distinct(), f"passes{at}"))
-    found = None
-    for more in links:
-        found = more if found is None else found.unionByName(more)
-    classes = materialize(components(found), "vector-classes")
+    classes = materialize(components(all_links(packed, threshold, window, miss, seed)), "vector-classes")
     members = classes.unionByName(classes.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("c_id"), F.col("component").alias("cls"))
     counted = equal.select("rep", "copies")
     own = packed.join(members, F.col("id") == F.col("c_id")).join(counted, F.col("id") == F.col("rep")).select("id", "cls", "dim", "copies", "vec")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,43 @@ def test_repeated_rows_and_empty(spark):
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_pairs_in_a_shared_direction(spark):
+    """Vectors with a mutual cosine of about 0.85 crowd the windows; every planted pair is found all the same."""
+    rng = np.random.default_rng(5)
+    n, dim, pairs = 6000, 64, 400
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    common = unit(rng.standard_normal(dim))
+    x = unit(math.sqrt(0.85) * common + math.sqrt(0.15) * unit(rng.standard_normal((n, dim))))
+    aside = rng.standard_normal((pairs, dim))
+    aside = unit(aside - (aside * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    x = np.concatenate([x, 0.935 * x[:pairs] + math.sqrt(1 - 0.935**2) * aside])
+    near = x @ x.T >= 0.93
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": 0}), "vec_id long, embedding array<double>, label int")
+    got = result(df)
+    links = near.sum(1) - 1
+    assert [got[k][0] for k in range(len(x))] == links.tolist()
+    assert all(got[k][1] == got[n + k][1] for k in range(pairs))
+
+
+def test_passes_settle_without_comparing_all(spark, monkeypatch):
+    """Where blocks cost more than passes, the passes go on until next to nothing is left to compare."""
+    left = []
+    real = embeddings.exact_links
+    monkeypatch.setattr(embeddings, "WINDOW_COST", 0.01)
+    monkeypatch.setattr(embeddings, "exact_links", lambda v, *a: left.append(v.count()) or real(v, *a))
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 32))
+    x[750:] = x[:750] + 0.2 * rng.standard_normal((750, 32))
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    got = result(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[k][0] for k in range(1500)] == ((y @ y.T >= 0.93).sum(1) - 1).tolist()
+    assert sum(left) < 300
+
+
 def test_more_passes_for_more_vectors():
     assert embeddings.passes_for(0) <= 2
     assert embeddings.passes_for(100) < embeddings.passes_for(10**6) < 300
