@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
 A text is lower-cased (A-Z) and reduced to its words with one space between; rules are regexes over that string. Each
-rule has a keyword that must occur before the regex is tried, a label, a priority and a confidence. Detections are
+rule has a keyword that must occur before the regex is tried and that all its matches contain, a label, a priority and a confidence. Detections are
 taken by priority, then length, then place; one that lies inside an interval already taken is suppressed, so "gnu lesser
 general public license" is no second, plain GPL. Rules are made from the tables of licences and phrasings below: some
 hundreds. The three base phrases are counted at all their places and their labels are never suppressed.
@@ -28,7 +28,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <
 # Phrases of the base and their labels.
 BASE = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general public license", "gpl"))
 
-# Label, keyword, pattern of the name (over folded words), pattern of versions or "".
+# Label, keyword (its first word is part of every match), pattern of the name (over folded words), pattern of versions or "".
 LICENSES = (
     ("mit", "mit", r"(?:mit|expat|x11)", ""),
     ("apache", "apache", r"apache(?: software)?", r"(?:1 [01]|2(?: 0)?)"),
@@ -46,7 +46,7 @@ LICENSES = (
     ("cpl", "common public", r"common public", r"(?:0 5|1 0)"),
     ("ibmpl", "ibm", r"ibm public", r"1 0"),
     ("bsd", "bsd", r"(?:(?:new|revised|simplified|modified|original|[0234] clause) )?bsd(?: [0234] clause)?", ""),
-    ("isc", "isc", r"(?:isc|internet systems consortium)", ""),
+    ("isc", "licen", r"(?:isc|internet systems consortium)", ""),
     ("boost", "boost", r"boost software", r"1 0"),
     ("zlib", "zlib", r"(?:zlib|zlib libpng)", ""),
     ("libpng", "libpng", r"libpng", r"2(?: 0)?"),
@@ -55,9 +55,9 @@ LICENSES = (
     ("wtfpl", "what the fuck", r"do what the fuck you want to public", r"2"),
     ("cc0", "cc0", r"(?:creative commons )?cc0", r"1 0"),
     ("cc-by", "creative commons attribution", r"creative commons attribution", r"[1234](?: [05])?"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution share ?alike", r"[1234](?: [05])?"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial", r"[1234](?: [05])?"),
-    ("cc-by-nd", "noderiv", r"creative commons attribution no ?deriv(?:ative)?s?", r"[1234](?: [05])?"),
+    ("cc-by-sa", "alike", r"creative commons attribution share ?alike", r"[1234](?: [05])?"),
+    ("cc-by-nc", "commercial", r"creative commons attribution non ?commercial", r"[1234](?: [05])?"),
+    ("cc-by-nd", "deriv", r"creative commons attribution no ?deriv(?:ative)?s?", r"[1234](?: [05])?"),
     ("eupl", "european union public", r"european union public", r"1 [012]"),
     ("osl", "open software", r"open software", r"[123] [01]"),
     ("afl", "academic free", r"academic free", r"[123] [012]"),
@@ -66,7 +66,7 @@ LICENSES = (
     ("php", "php", r"php", r"3 0[01]?"),
     ("ruby", "ruby", r"ruby", ""),
     ("postgresql", "postgresql", r"postgresql", ""),
-    ("openssl", "openssl", r"(?:openssl|ssleay)", ""),
+    ("openssl", "ssl", r"(?:openssl|ssleay)", ""),
     ("ms-pl", "microsoft public", r"microsoft public", ""),
     ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal", ""),
     ("apsl", "apple", r"apple public source", r"[12] [012]"),
@@ -124,7 +124,7 @@ SPDX = (
 )
 
 #: A text without any of these can match no rule.
-STEMS = (b"licen", b"permission", b"redistribut", b"unencumbered", b"public domain", b"rights reserved", b"proprietary", b"held liable", b"endorse or promote", b"this file except")
+STEMS = (b"licen", b"permission", b"redistribut", b"unencumbered", b"public domain", b"rights reserved", b"proprietary", b"held liable", b"endorse or promote", b"this file except", b"organization obtaining a copy")
 
 
 #: No pattern spans more words than this.

@@ -1,4 +1,9 @@
+import dataclasses
+import itertools
 import re
+from re import _parser
+
+import pytest
 
 from corpusloom.llm import licenses
 
@@ -57,3 +62,49 @@ def test_rules_match_with_and_without_the_prefilter():
     direct = {r.label for r, p in everything if p.search(line)}
     assert {d[1] for d in licenses.detect(line, everything)} <= direct
     assert {"mit", "gpl", "bsd"} <= {d[1] for d in licenses.detect(line, everything)}
+
+
+def spellings(tree):
+    """Strings a parsed pattern matches: all alternatives, repeats as short and one longer, the first of a set's characters and its last."""
+    parts = []
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(value)])
+        elif op == "ANY":
+            parts.append(["x"])
+        elif op == "IN":
+            ends = [v if str(o) == "LITERAL" else v[k] for o, v in value for k in (0, -1) if str(o) == "RANGE" or k == 0]
+            parts.append([chr(ends[0]), chr(ends[-1])])
+        elif op == "SUBPATTERN":
+            parts.append(list(spellings(value[3])))
+        elif op == "BRANCH":
+            parts.append([x for branch in value[1] for x in spellings(branch)])
+        else:
+            assert op == "MAX_REPEAT", op
+            parts.append(["".join(x) for n in (value[0], value[0] + 1) for x in itertools.product(list(spellings(value[2])), repeat=n)])
+    return ("".join(x) for x in itertools.product(*parts))
+
+
+def names():
+    for _, _, name, _ in licenses.LICENSES:
+        yield from (f"the {x} license" for x in spellings(_parser.parse(name)))
+    for _, _, pattern, *_ in licenses.SENTENCES:
+        yield from spellings(_parser.parse(pattern))
+    for _, pattern in licenses.SPDX:
+        yield from (f"spdx license identifier {x}" for x in spellings(_parser.parse(pattern)))
+
+
+def test_every_spelling_is_detected_as_without_the_prefilter(monkeypatch):
+    rules = licenses._compiled()
+    bare = [(dataclasses.replace(r, keyword=b""), p) for r, p in rules]
+    lines = [b" " + x.encode() + b" " for x in sorted(set(names()))]
+    gated = [licenses.detect(x, rules) for x in lines]
+    monkeypatch.setattr(licenses, "STEMS", (b"",))
+    assert all(gated)
+    assert gated == [licenses.detect(x, bare) for x in lines]
+
+
+@pytest.mark.parametrize("text, label", [("Creative Commons Attribution Non-Commercial License", "cc-by-nc"), ("Creative Commons Attribution Share-Alike License", "cc-by-sa"), ("Creative Commons Attribution No Derivatives License", "cc-by-nd"), ("Internet Systems Consortium License", "isc"), ("SSLeay License", "openssl"), ("granted, free of charge, to any person or organization obtaining a copy", "boost")])
+def test_other_spellings(text, label):
+    assert label in [x[0] for x in labels(text)]
