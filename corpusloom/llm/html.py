@@ -2,7 +2,8 @@
 
 The page becomes a tree (tags may be unclosed, crossed or cut off). Boilerplate is pruned: elements that never hold an
 article's text, and elements whose class, id or role names a menu, advert, notice, comment section and the like, unless
-an article or main element stands inside. Every block with text of its own passes points for its length and commas to
+an article or main element stands inside. An element that is marked by its class or id alone is kept where it holds most
+of the page's prose (half of it beside a word of content, else nine tenths): it is a layout's wrapper. Every block with text of its own passes points for its length and commas to
 its parent, half to the grandparent, less to those above; a container's points are discounted by the share of its text
 that stands in links, and the container with the most points is the best. If it lies in an article or main element, that
 element is kept; else the best container and those siblings that score near it or read like prose or headings.
@@ -49,16 +50,20 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 CONTENT = frozenset("article content post entry story text body main page hentry blog".split())
+# Share of the page's prose from which a marked element is kept, with a word of content and without.
+WRAPPER, BARE_WRAPPER = 0.5, 0.9
 WORDS = re.compile(r"[a-z]+")
 CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marks", "dropped", "points", "size", "linked", "holds")
+    __slots__ = ("tag", "parent", "children", "marks", "dropped", "by_words", "prose", "points", "size", "linked", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, marks: frozenset[str] = frozenset(), dropped: bool = False) -> None:
+    def __init__(self, tag: str, parent: Node | None, marks: frozenset[str] = frozenset(), dropped: bool = False, by_words: bool = False) -> None:
         self.tag, self.parent, self.marks, self.dropped = tag, parent, marks, dropped
         self.children: list[Node | str] = []
+        self.by_words = by_words  # dropped for its class or id only
+        self.prose = 0
         self.points = 0.0
         self.size = self.linked = 0
         self.holds = False  # an article or main element stands inside
@@ -78,7 +83,9 @@ class Builder(HTMLParser):
         marks = frozenset(WORDS.findall(f"{values.get('class') or ''} {values.get('id') or ''}".lower()))
         role = (values.get("role") or "").lower()
         hidden = "hidden" in values or (values.get("aria-hidden") or "").lower() == "true" or "display:none" in (values.get("style") or "").replace(" ", "").lower()
-        node = Node(tag, self.at, marks, tag in DROPPED or hidden or role in ROLES or bool(marks & BOILERPLATE) and tag not in ("html", "body", "article", "main"))
+        never = tag in DROPPED or hidden or role in ROLES
+        by_words = not never and bool(marks & BOILERPLATE) and tag not in ("html", "body", "article", "main")
+        node = Node(tag, self.at, marks, never or by_words, by_words)
         self.at.children.append(node)
         if tag in ("article", "main"):
             above = self.at
@@ -116,9 +123,28 @@ def parse(html: str) -> Node:
     builder = Builder()
     builder.feed(CUT_TAG.sub("", html))
     builder.close()
+    keep_wrappers(builder.root)
     return builder.root
 
 
+def keep_wrappers(root: Node) -> None:
+    """Elements that only their class or id marks are no longer dropped if they hold most of the page's prose."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node) and (c.by_words or not pruned(c)) and c.tag != "a")
+    if not any(n.by_words for n in order):
+        return
+    for node in reversed(order):
+        node.prose += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        if node.parent:
+            node.parent.prose += node.prose
+    for node in order:
+        if node.by_words and root.prose and node.prose >= (WRAPPER if node.marks & CONTENT else BARE_WRAPPER) * root.prose:
+            node.dropped = False
+
+
 def pruned(node: Node) -> bool:
     return node.dropped and not (node.holds and node.tag not in ("head", "script", "style", "noscript", "template"))
 

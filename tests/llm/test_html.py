@@ -42,3 +42,16 @@ def test_query(spark, table, sf):
 def test_null_columns(spark):
     df = spark.createDataFrame([(None, None, None), (1, None, "<p>x</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(r["t"] for r in df.select(html.main_text("html").alias("t")).na.fill("").collect()) == ["", "x"]
+
+
+@pytest.mark.parametrize("mark", ["class='content has-sidebar'", "id='header-and-content'", "class='layout has-sidebar'", "class='toc-page with-share'"])
+def test_marked_wrappers_keep_the_page(mark):
+    inner = f"<h2>Title</h2><p>{PROSE}</p><p>{PROSE}</p>"
+    rest = f"<div class=sidebar><p>{PROSE[:40]}</p></div>"
+    assert html.extract(f"<body><div id=menu><a href=x>Menu</a></div><div {mark}>{inner}</div><div class=footer><p>Foot</p></div></body>") == f"Title\n{PROSE}\n{PROSE}"
+    assert html.extract(f"<body><div {mark}><div>{inner}</div>{rest}</div></body>") == f"Title\n{PROSE}\n{PROSE}"
+
+
+@pytest.mark.parametrize("mark", ["class=post-comments", "class=comments", "class=page-header"])
+def test_marked_parts_are_dropped(mark):
+    assert html.extract(f"<body><div><p>{PROSE}</p><p>{PROSE}</p></div><div {mark}><p>{PROSE}</p></div></body>") == f"{PROSE}\n{PROSE}"
