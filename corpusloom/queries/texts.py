@@ -47,7 +47,7 @@ def gap_repair(s, sf):
 
 
 def gap_tokens(s, sf):
-    d = T(s, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 30), F.lit(" ... <gap> - x [gap] <GAP> <q>")).alias("t"))
+    d = T(s, sf, "documents").select("doc_id", F.concat("text", F.lit(" ... <gap> - x [gap] <GAP> <q>")).alias("t"))
     return d.select("doc_id", gaps.normalize_gaps("t").alias("gaps"), gaps.fold_angles("t").alias("angles"))
 
 
@@ -76,8 +76,8 @@ def predicates(s, sf):
     return c.select("conv_id", "turn", text.is_empty("text").alias("empty"), text.says_no_text("text").alias("no_text"), text.starts_with_any("text", ("the ", "an")).alias("prefix"), text.is_gap_only(F.lit(" <gap> <gap>")).alias("gap_only"))
 
 
-def quote_folds(s, sf):
-    d = T(s, sf, "documents").select("doc_id", F.concat(F.lit("“a” ‘b’ [c] "), F.substring("text", 1, 20)).alias("t"))
+def _quote_folds(s, sf, body):
+    d = T(s, sf, "documents").select("doc_id", F.concat(F.lit("“a” ‘b’ [c] "), body).alias("t"))
     return d.select("doc_id", text.drop_square_brackets(text.fold_apostrophes(text.fold_double_quotes("t"))).alias("t"))
 
 
@@ -99,7 +99,7 @@ def fractions(s, sf):
 
 def _profile(name):
     def run(s, sf):
-        marked = F.concat(F.lit("ki (d) a x b, 1.5 PN "), F.substring(F.regexp_replace("text", r"[!%]", ""), 1, 200), F.lit(" II 1 / 2 <gap> ā"))
+        marked = F.concat(F.lit("ki (d) a x b, 1.5 PN "), F.col("text"), F.lit(" II 1 / 2 <gap> ā"))
         d = T(s, sf, "documents").select("doc_id", marked.alias("t"))
         return d.select("doc_id", profiles.normalize("t", name, "transliteration").alias("source_text"), profiles.normalize("t", name, "translation").alias("target_text"))
 
@@ -162,7 +162,7 @@ def location_summary(s, sf):
 
 
 def train_table(s, sf):
-    d = T(s, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 80).alias("source_text"), F.substring("text", 1, 100).alias("target_text"), F.col("doc_id").alias("rid"))
+    d = T(s, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("source_text"), F.col("text").alias("target_text"), F.col("doc_id").alias("rid"))
     out = corpus.training_table(d, d.where("rid % 2 = 0"), d.where("rid % 3 = 0"), ["1", "2"], ["4"])
     return out.select("id", F.col("fold").cast("int").alias("fold"), "target_text")
 
@@ -174,19 +174,19 @@ def aligned_pairs(s, sf):
 
 
 def retry_rounds(s, sf):
-    d = T(s, sf, "documents").select("doc_id", F.substring("text", 1, 30).alias("text"))
+    d = T(s, sf, "documents").select("doc_id", "text")
     # A stand-in for a model: the answer grows by round.
     answer = lambda texts, turn: [t[: 10 * (turn + 1)] for t in texts]
     return rounds.until_accepted(d, answer, "text", "doc_id", F.length("answer") >= F.least(F.lit(20), F.length("text")), 3)
 
 
-def line_markers(s, sf):
-    d = T(s, sf, "documents").select("doc_id", F.concat(F.lit("1-3) "), F.substring("text", 1, 40), F.lit(" 4'-5' and 12 (6) end")).alias("t"))
+def _line_markers(s, sf, body):
+    d = T(s, sf, "documents").select("doc_id", F.concat(F.lit("1-3) "), body, F.lit(" 4'-5' and 12 (6) end")).alias("t"))
     return d.select("doc_id", cleaners.drop_line_markers("t").alias("t"))
 
 
 def extracted_texts(s, sf):
-    d = T(s, sf, "documents").select("doc_id", F.concat(F.lit("1-3) [Rest Vs. abgebr.] "), F.substring(F.regexp_replace("text", "[!%]", ""), 1, 60), F.lit(" a<sub>2</sub> x … 1/2 m Spuren")).alias("t"), F.when(F.col("doc_id") % 2 == 0, "AKT 7B").otherwise("AKT 1").alias("v"))
+    d = T(s, sf, "documents").select("doc_id", F.concat(F.lit("1-3) [Rest Vs. abgebr.] "), F.col("text"), F.lit(" a<sub>2</sub> x … 1/2 m Spuren")).alias("t"), F.when(F.col("doc_id") % 2 == 0, "AKT 7B").otherwise("AKT 1").alias("v"))
     return d.select("doc_id", cleaners.cleaned_translation("t").alias("target_text"), cleaners.cleaned_transliteration("t", "v").alias("source_text"), cleaners.drop_leading_summary("t").alias("body"))
 
 
@@ -226,11 +226,13 @@ TABLE = {
     "profile_route": (profile_route, "SELECT doc_id, CASE lang WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE 'default' END AS language FROM documents"),
     "prompt_text": (prompt_text, f"SELECT doc_id, md5('Translate from ' || lang || ':' || chr(10) || {_WS}) AS prompt FROM documents"),
     "predicates": (predicates, f"SELECT conv_id, turn, {_WS} = '' AS empty, contains(lower(text), 'no text') AS no_text, starts_with(lower({_WS}), 'the ') OR starts_with(lower({_WS}), 'an') AS prefix, true AS gap_only FROM conversations"),
-    "quote_folds": (quote_folds, """SELECT doc_id, translate('"a" ''b'' c ' || text[1:20], '[]“”„‟«»″‚‛‘’ʼʹʻ′`´', '') AS t FROM documents"""),
+    "quote_folds_whole": (lambda s, sf: _quote_folds(s, sf, F.col("text")), None),
+    "quote_folds": (lambda s, sf: _quote_folds(s, sf, F.substring("text", 1, 20)), """SELECT doc_id, translate('"a" ''b'' c ' || text[1:20], '[]“”„‟«»″‚‛‘’ʼʹʻ′`´', '') AS t FROM documents"""),
     "decimals": (decimals, "SELECT doc_id, 'a ' || CASE WHEN doc_id % 7 = 4 THEN (doc_id % 3) || '.66' WHEN doc_id % 7 = 2 AND doc_id % 3 > 0 THEN (doc_id % 3) || '.35' ELSE CASE WHEN doc_id % 3 = 0 THEN '' ELSE (doc_id % 3) || ' ' END || ['¼', '½', '⅓', '⅔', '', '¾', '⅚'][doc_id % 7 + 1] END || ' b' AS t FROM documents"),
     "roman": (roman, "SELECT doc_id, 'k ' || ['I', '2', '3', '4', '5', '6', '7', '8', '9', '10', '11', '12', 'XIII', 'XIV'][doc_id % 14 + 1] || ' m' AS t FROM documents"),
     "fractions": (fractions, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR doc_id % 4 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'month ' ELSE 'x ' END || (doc_id % 4) || ' / 4 y' ELSE 'x ' || ['', '¼', '', '¾'][doc_id % 4 + 1] || ' y' END AS spaced, CASE WHEN doc_id % 2 = 0 THEN 'month ' || CASE WHEN doc_id % 4 = 2 THEN '2 / 4' ELSE '0 / 4' END || ' y' ELSE 'x ' || ['', '¼', '', '¾'][doc_id % 4 + 1] || ' y' END AS compact FROM documents"),
-    "line_markers": (line_markers, "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text[1:40] || ' and 12 end', '\\([0-9]+\\)', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM documents"),
+    "line_markers_whole": (lambda s, sf: _line_markers(s, sf, F.col("text")), None),
+    "line_markers": (lambda s, sf: _line_markers(s, sf, F.substring("text", 1, 40)), "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text[1:40] || ' and 12 end', '\\([0-9]+\\)', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM documents"),
     "extracted_texts": (extracted_texts, None),
     "sup_sub_html": (sup_sub_html, "SELECT page_id, url[1:12] || ' aᵏⁱ u₃ ' AS t FROM pages"),
     "text_lines": (text_lines, None),
