@@ -7,12 +7,14 @@ CLASHES = ("id", "size", "kept", "score", "shard", "slot", "piece", "start", "le
 
 @pytest.fixture(scope="session")
 def messy(spark):
-    """Documents with nulls in any column, empty, blank and very long texts, ties, repeated rows and clashing columns."""
+    """Documents with nulls in any column, ids that doubles cannot hold, one id for several texts, empty, blank and very long texts, ties, repeated rows and clashing columns."""
     long = " ".join(f"word{k % 977}" for k in range(60_000))
     prose = " ".join(f"token{k}" for k in range(80))
     rows = [
         (1, None, None, None), (2, "", "en", "a"), (3, " \t\n\r ", "en", "a"), (4, long, "en", "a"), (5, prose, "en", None), (5, prose, "en", None), (6, prose, None, "b"),
         (7, prose + " extra", "de", "b"), (8, "é́ 中文 \U0001d573 a b", "fr", "a"), (9, "one", "en", "b"), (10, "MIT License, apache license; General Public License", "en", "\U0001d573"),
+        (None, prose + " without an id", "en", "a"), (None, prose + " without an id", "en", "a"), (None, "another text", "en", "a"), (None, None, None, None),
+        (2**60 + 1, prose + " large", "en", "a"), (2**60 + 3, prose.replace("token", "other"), "en", "a"), (2**60 + 5, "large three", "en", "b"), (5, "another text of id five", "en", "a"),
     ]
     rows = [(i, t, lang, s, len(t) if t else None) for i, t, lang, s in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
