@@ -1,13 +1,20 @@
 """Best-fit packing of tokenized documents, certified by dual-feasible lower bounds.
 
-Pieces are dealt to packs of PACK pieces by a hash. Each pack is packed best-fit decreasing and gets a lower bound: the
-largest of the volume bound, the bounds of the thresholded dual-feasible functions and of the rounding ones, over all
-thresholds. A pack that meets its bound is final but for its emptiest sequence. A pack with a gap gives up all its
-sequences with room. What was given up is dealt anew to fewer packs, so that packs exchange documents, and packed again,
-until one pack is left or ROUNDS are over.
+Pieces are dealt to packs of PACK pieces by a hash of their row number, so that repeated ids spread. Each pack is packed
+best-fit decreasing and gets a lower bound: the largest of the volume bound, the bounds of the thresholded dual-feasible
+functions and of the rounding ones, over all thresholds. A pack that meets its bound is final but for its emptiest sequence.
+A pack with a gap gives up all its sequences with room. What was given up is dealt anew to fewer and wider packs, so that packs
+exchange documents, and packed again. The new packing of what was given up holds if it needs fewer sequences than the
+old one, else the old one does and the exchange ends; it ends too when a single pack has held all that was left, or when the
+sequences in all are as few as the lower bound of the whole table, which comes from one count of the lengths.
+
+Certificates: pack_bins and pack_bound are the sequences and the bound of the group in which a piece was last packed and
+whose other sequences it did not leave (what a pack kept and what it gave up are two groups); n_sequences and lower_bound
+are those of the whole table.
 
 Cases: a null text is empty and packs as the single end token; only documents longer than a sequence are cut; equal rows
-are packed as separate documents; an empty table gives an empty result; other columns are not read.
+are packed as separate documents; null ids and ids of any size pass unchanged, they never leave Arrow; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +23,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +32,9 @@ from corpusloom.llm.common import materialize, read, worker_state
 
 MAX_TOKENS = 4096
 END_ID = 1
-PACK = 50_000
-ROUNDS = 4
+PACK = 200_000
+#: Packs of what was given up hold that many times as many pieces.
+WIDER = 4
 #: Words kept with their ids in each Python worker; about 200 bytes each. Beyond that all are dropped and met anew.
 CACHE_WORDS = 900_000
 #: Texts whose new words are encoded in one call.
@@ -141,8 +148,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Fewest sequences any packing needs, by dual-feasible functions.
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Fewest sequences any packing needs, by dual-feasible functions. times: how often each size occurs, else once.
 
     For a threshold t up to half the capacity: sizes over capacity - t count as whole sequences, sizes under t as
     nothing, the rest as they are. For k: a size x of capacity 1 counts x if (k + 1) x is integral, else
@@ -151,6 +158,9 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     if not len(sizes):
         return 0
     count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    if times is not None:
+        count = np.zeros(capacity + 1, np.int64)
+        np.add.at(count, sizes, times)
     volume = count * np.arange(capacity + 1)
     many, mass = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(volume)])
     t = np.arange(capacity // 2 + 1)
@@ -158,9 +168,9 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     best = int(np.max(large + -(-(mass[capacity - t + 1] - mass[t]) // capacity)))
     x = np.arange(capacity + 1, dtype=np.int64)
     for k in range(1, 33):
-        times, rest = np.divmod((k + 1) * x, capacity)
+        whole, rest = np.divmod((k + 1) * x, capacity)
         # In units of 1 / (k * capacity), to stay with whole numbers.
-        value = np.where(rest == 0, k * x, times * capacity)
+        value = np.where(rest == 0, k * x, whole * capacity)
         best = max(best, int(-(-int((count * value).sum()) // (k * capacity))))
     return best
 
@@ -188,46 +198,71 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], lis
     return at, offset, bins
 
 
-def _pack(capacity: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        sizes = pdf["length"].tolist()
-        at, offset, bins = best_fit_decreasing(sizes, capacity)
-        bound = lower_bound(pdf["length"].to_numpy(), capacity)
-        at = np.array(at, dtype=np.int64)
-        fill = np.bincount(at, weights=pdf["length"], minlength=bins).astype(np.int64)
+def _pack(capacity: int, level: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        """Adds sequence_id, offset, open (given up), pack_bins and pack_bound of the part that is kept or given up."""
+        lengths = table.column("length").to_numpy()
+        order = np.lexsort((table.column("row").to_numpy(), -lengths))
+        placed, places, bins = best_fit_decreasing(lengths[order].tolist(), capacity)
+        at, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        at[order], offset[order] = placed, places
+        fill = np.bincount(at, weights=lengths, minlength=bins).astype(np.int64)
         give = np.zeros(bins, dtype=bool)
-        if not last:
-            if bins > bound:
-                give = fill < capacity
-            elif fill.min() < capacity:
-                give[int(fill.argmin())] = True
-        pack = int(pdf["pack"].iat[0])
-        return pdf.assign(sequence_id=(level << 58) + (pack << 32) + at, offset=np.array(offset, dtype=np.int64), open=give[at], pack_bins=bins, pack_bound=bound)
+        if bins > lower_bound(lengths, capacity):
+            give = fill < capacity
+        elif fill.min() < capacity:
+            give[int(fill.argmin())] = True
+        part = give[at]
+        counts = np.array([bins - give.sum(), give.sum()])
+        bounds = np.array([lower_bound(lengths[~part], capacity), lower_bound(lengths[part], capacity)])
+        side = part.astype(np.int64)
+        pack = table.column("pack")[0].as_py()
+        columns = {"sequence_id": (level << 52) + (pack << 21) + at, "offset": offset, "open": part, "pack_bins": counts[side], "pack_bound": bounds[side]}
+        for name, values in columns.items():
+            table = table.append_column(name, pa.array(values))
+        return table
 
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = MAX_TOKENS, pack: int = PACK, rounds: int = ROUNDS, id_col: str = "doc_id") -> DataFrame:
-    """pieces (id, piece, start, length, ids_crc32) with sequence_id, offset, and their pack's pack_bins and pack_bound."""
+def _lengths_bound(pieces: DataFrame, capacity: int) -> int:
+    """Lower bound of the whole table; the driver gets one row for each length, capacity at most."""
+    counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    return lower_bound(np.array([r["length"] for r in counts], dtype=np.int64), capacity, np.array([r["n"] for r in counts], dtype=np.int64)) if counts else 0
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = MAX_TOKENS, pack: int = PACK, id_col: str = "doc_id") -> DataFrame:
+    """pieces (id, piece, start, length, ids_crc32, row: a number of its own) with sequence_id, offset and the certificates.
+
+    WIDER * pack is at most 2^20, so that a pack has less than 2^21 sequences.
+    """
     left = pieces.withColumnRenamed(id_col, "id")
-    count = left.count()
-    out = None
-    for level in range(rounds):
-        packs = max(1, -(-count // pack))
-        last = level == rounds - 1 or packs == 1
-        dealt = left.select("id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("id", "piece", F.lit(level)), F.lit(packs)).alias("pack"))
-        schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType()), T.StructField("pack_bins", T.LongType()), T.StructField("pack_bound", T.LongType())])
-        packed = materialize(dealt.groupBy("pack").applyInPandas(_pack(capacity, level, last), schema), f"packed-{level}")
-        done = packed.where(~F.col("open"))
-        out = done if out is None else out.unionByName(done)
-        if last:
+    fields = ("id", "piece", "start", "length", "ids_crc32", "row")
+    placed = ("sequence_id", "offset", "pack_bins", "pack_bound")
+    schema = T.StructType([*[left.schema[c] for c in fields], T.StructField("pack", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType()), T.StructField("pack_bins", T.LongType()), T.StructField("pack_bound", T.LongType())])
+    done, total, before, count, level, kept_bins = [], _lengths_bound(pieces, capacity), None, pieces.count(), 0, 0
+    while True:
+        packs = max(1, -(-count // (WIDER * pack if level else pack)))
+        dealt = left.select(*fields, F.pmod(F.xxhash64("row", F.lit(level)), F.lit(packs).cast("long")).alias("pack"))
+        packed = materialize(dealt.groupBy("pack").applyInArrow(_pack(capacity, level), schema), f"packed-{level}")
+        # One number for each group of a pack.
+        sums = {r["open"]: (r["n"], r["bins"]) for r in packed.groupBy("open", "pack").agg(F.first("pack_bins").alias("b"), F.count(F.lit(1)).alias("m")).groupBy("open").agg(F.sum("m").alias("n"), F.sum("b").alias("bins")).collect()}
+        (_, kept), (count, given) = sums.get(False, (0, 0)), sums.get(True, (0, 0))
+        if before is not None and kept + given >= before:
+            done.append(left.select(*fields, *placed))  # no gain: the old packing holds
+            kept_bins += before
             break
-        left = packed.where("open").select("id", "piece", "start", "length", "ids_crc32")
-        count = left.count()
-        if not count:
+        kept_bins += kept
+        if not count or packs == 1 or kept_bins + given <= total:
+            done.append(packed.select(*fields, *placed))
+            kept_bins += given
             break
-    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "pack_bins", "pack_bound")
+        done.append(packed.where("NOT open").select(*fields, *placed))
+        left, before, level = packed.where("open").select(*fields, *placed), given, level + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", *placed, F.lit(kept_bins).cast("long").alias("n_sequences"), F.lit(total).cast("long").alias("lower_bound"))
 
 
 def default_tokenizer() -> str:
@@ -238,8 +273,8 @@ def default_tokenizer() -> str:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """Tokenize, cut and pack documents."""
-    pieces = materialize(tokenized_pieces(docs, tokenizer_path or default_tokenizer()), "pieces")
-    return pack_pieces(pieces)
+    pieces = tokenized_pieces(docs, tokenizer_path or default_tokenizer()).withColumn("row", F.monotonically_increasing_id())
+    return pack_pieces(materialize(pieces, "pieces"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -38,8 +38,9 @@ def test_pieces_and_sequences(spark, table, messy, tokenizer):
     for docs in (table("documents"), messy):
         rows = packing.pack_documents(docs).collect()
         texts = docs.select("doc_id", "text").collect()
-        assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted((t["doc_id"], *p) for t in texts for p in expected(tokenizer, t["text"]))
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == Counter((t["doc_id"], *p) for t in texts for p in expected(tokenizer, t["text"]))
         bins = check_sequences(rows)
+        assert {(r["n_sequences"], r["lower_bound"]) for r in rows} == {(bins, packing.lower_bound(np.array([r["length"] for r in rows]), 4096))}
         assert bins <= -(-sum(r["length"] for r in rows) // 4096) + 1
 
 
@@ -47,13 +48,35 @@ def test_empty_table(spark, messy):
     assert packing.pack_documents(messy.limit(0)).count() == 0
 
 
-def test_exchange_between_packs(spark):
+def packed(spark, sizes, pack, capacity=4096):
+    pieces = spark.createDataFrame([(None if k % 50 == 0 else 7 if k % 3 == 0 else 2**60 + k, k, 0, int(n), k, k) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    out = packing.pack_pieces(pieces, capacity, pack=pack).collect()
+    assert Counter((r["doc_id"], r["piece"], r["length"]) for r in out) == Counter((r["doc_id"], r["piece"], r["length"]) for r in pieces.collect())
+    bins = check_sequences(out)
+    bound = packing.lower_bound(np.array(sizes), capacity)
+    assert {(r["n_sequences"], r["lower_bound"]) for r in out} == {(bins, bound)}
+    # The certificates of the groups say how many sequences their pieces have and that fewer than the bound are none.
+    groups = defaultdict(list)
+    for r in out:
+        groups[r["pack_bins"], r["pack_bound"], r["sequence_id"] >> 21].append(r)
+    assert all(len({r["sequence_id"] for r in rows}) <= key[0] and key[1] <= key[0] for key, rows in groups.items())
+    return bins, bound
+
+
+def test_exchange_goes_on_while_it_gains(spark):
+    """Small packs lose what one pack of all would not; exchange wins much of it back."""
     rng = np.random.default_rng(0)
-    rows = [(k, 0, 0, int(rng.integers(1, 4097)), k) for k in range(3000)]
-    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    out = packing.pack_pieces(pieces, pack=300).collect()
-    assert sorted(r["doc_id"] for r in out) == list(range(3000))
-    assert check_sequences(out) <= packing.lower_bound(np.array([r[3] for r in rows]), 4096) * 1.02 + 2
+    sizes = rng.integers(1, 4097, 6000)
+    whole = packing.best_fit_decreasing(sizes.tolist(), 4096)[2]
+    alone = sum(packing.best_fit_decreasing(sizes[k::6].tolist(), 4096)[2] for k in range(6))
+    bins, bound = packed(spark, sizes, 1000)
+    assert bound <= whole <= bins < alone
+    assert bins - whole < 0.6 * (alone - whole)
+
+
+def test_small_documents_meet_the_bound(spark):
+    bins, bound = packed(spark, np.random.default_rng(1).integers(1, 600, 5000), 500)
+    assert bins == bound
 
 
 def test_words_are_encoded_as_in_the_whole_text(tokenizer):
