@@ -15,8 +15,13 @@ its texts are compared to one pivot; those near it are its class; of the rest, o
 at most twice the limit can be near a member (1 - weighted Jaccard is a metric), and these are compared to the members, in
 blocks; then the rest gets its own pivot. What is left large after PIVOTS rounds is compared in blocks.
 
-Cases: null texts and texts without words are copies of nothing; ties go to the smallest id; rows with a null id are left
-out; repeated rows are copies; empty tables give empty results; other columns are not read.
+Inside, a bag is known by a number of its own, never by a document's id. The document with the smallest id stands for a bag
+and a class, a null id after all others, and of those with one id the one with the smaller hash of its text.
+
+Cases: null texts and texts without words are copies of nothing, each a class of its own; a row with a null id is a
+document like any other, a class of such rows only has the null id; repeated rows are copies; different texts under one
+id are different documents, but where both stand for a class their classes bear the same id; empty tables give empty
+results; other columns are not read by near_duplicates() and carried by keep_one_of_each().
 """
 
 from __future__ import annotations
@@ -122,13 +127,13 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, d1 and d2 (digest of the bag), n (its size), bands (a hash for each band; empty for a text without words)."""
+    """id, h (hash of the text), d1 and d2 (digest of the bag), n (its size), bands (a hash for each band; empty for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_TEXTS):
                 batch = whole.slice(at, BATCH_TEXTS)
-                bags = [shingles(t.as_py()) for t in batch.column(1)]
+                bags = [shingles(t.as_py()) for t in batch.column(2)]
                 sign = bag_min_hash(bags, bands * rows).view(np.uint64).reshape(len(bags), bands, rows)
                 band = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.ones((len(bags), 1), np.uint64)
                 for k in range(rows):
@@ -138,11 +143,11 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: st
                 d2 = [int(_mix(b ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64).view(np.int64)) for b in bags]
                 lists = [x.view(np.int64) if len(b) else np.zeros(0, np.int64) for x, b in zip(band, bags, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([len(b) for b in bags], pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
-                    names=["id", "d1", "d2", "n", "bands"],
+                    [batch.column(0), batch.column(1), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([len(b) for b in bags], pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
+                    names=["id", "h", "d1", "d2", "n", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, d1 long, d2 long, n long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), text_col).mapInArrow(run, "id long, h long, d1 long, d2 long, n long, bands array<long>")
 
 
 def _bags(texts: DataFrame) -> DataFrame:
@@ -269,12 +274,13 @@ def verified_links(bags: DataFrame, limit: float = SIMILARITY, pivots: int = PIV
         # Every member meets its class's one pivot; the engine may split a class's rows over tasks.
         pairs = left.join(materialize(pivot_bags, f"pivots{turn}"), "cls").select("id", "cls", "bag", "pivot", "pivot_bag")
         met = materialize(pairs.mapInArrow(_against_pivot, "id long, cls long, bag binary, pivot long, sim double"), f"met{turn}")
-        links.append(met.where((F.col("sim") >= limit) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        members = met.where(F.col("sim") >= limit)
-        others = met.where(F.col("sim") < limit)
+        links.append(met.where((F.col("sim") >= limit - 1e-9) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        members = met.where(F.col("sim") >= limit - 1e-9)
+        others = met.where(F.col("sim") < limit - 1e-9)
         # Distances add up: a text near a member of the pivot's class is within twice the limit of the pivot.
-        close = others.where(F.col("sim") >= 2 * limit - 1)
-        n = met.groupBy("cls").agg(F.sum((F.col("sim") >= limit).cast("long")).alias("n_right"), F.sum(((F.col("sim") < limit) & (F.col("sim") >= 2 * limit - 1)).cast("long")).alias("n_left"))
+        reach = 2 * limit - 1 - 1e-9
+        close = others.where(F.col("sim") >= reach)
+        n = met.groupBy("cls").agg(F.sum((F.col("sim") >= limit - 1e-9).cast("long")).alias("n_right"), F.sum(((F.col("sim") < limit - 1e-9) & (F.col("sim") >= reach)).cast("long")).alias("n_left"))
         todo = materialize(n.where("n_left > 0 and n_right > 0"), f"close{turn}")
         if not todo.isEmpty():
             links.append(materialize(_blocks(close, members, todo, limit), f"links-close{turn}"))
@@ -282,20 +288,23 @@ def verified_links(bags: DataFrame, limit: float = SIMILARITY, pivots: int = PIV
     return links
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id of its class), kept (the id is that one)."""
-    docs = docs.where(F.col(id_col).isNotNull())
+def classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, h, n (shingles), component_id, kept (it has the id and text that stand for its class)."""
     signed = materialize(signatures(docs, bands, rows, id_col, text_col), "signatures")
     worded = signed.where("n > 0")
-    # One row for each bag; its smallest id stands for it.
-    bags = materialize(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "bags")
+    # One row for each bag; its first document stands for it.
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
+    bags = worded.groupBy("d1", "d2").agg(F.min(first).alias("first"), F.min_by("bands", first).alias("bands"))
+    bags = materialize(bags.select("d1", "d2", "first", "bands").withColumn("rep", F.monotonically_increasing_id()), "bags")
     keys = bags.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = keys.groupBy("band", "key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select(F.col("band").alias("b"), F.col("key").alias("k"), "least")
     stars = materialize(keys.join(buckets, (F.col("band") == F.col("b")) & (F.col("key") == F.col("k"))).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "bucket-stars")
     classes = components(stars)
-    cls = classes.unionByName(classes.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("c_id"), F.col("component").alias("cls"))
+    cls = classes.unionByName(classes.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("c_rep"), F.col("component").alias("cls"))
+    found_in = bags.select("rep", F.col("first.id").alias("f_id"), F.col("first.h").alias("f_h")).join(cls, F.col("rep") == F.col("c_rep")).select("rep", "cls", "f_id", "f_h")
     # The candidates grow with the texts, so the join is the same at every size.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(cls.hint("merge"), F.col("id") == F.col("c_id")).select("id", "cls", "text")
+    whole = docs.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    texts = whole.join(found_in.hint("merge"), (F.col("h") == F.col("f_h")) & F.col("d_id").eqNullSafe(F.col("f_id"))).select(F.col("rep").alias("id"), "cls", "text")
     own = materialize(_bags(texts).dropDuplicates(["id"]), "class-bags")
     links = verified_links(own, similarity)
     table = links[0]
@@ -303,19 +312,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         table = table.unionByName(more)
     found = components(materialize(table, "links"))
     discard(stars, own)
-    reps = bags.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"), F.coalesce("component", "rep").alias("component"))
-    whole = materialize(reps, "rep-classes")
-    joined = signed.select("id", "d1", "d2", "n").join(whole, (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")) & (F.col("n") > 0), "left")
-    component = F.coalesce("component", "id")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    placed = bags.select("d1", "d2", "rep", "first").join(found, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"), "first", "rep", "component")
+    linked = placed.select("first", F.coalesce("component", "rep").alias("component")).groupBy("component").agg(F.min("first").alias("winner"))
+    reps = placed.withColumn("own", F.coalesce("component", "rep")).drop("component").join(linked, F.col("own") == F.col("component")).select("r1", "r2", "winner")
+    reps = materialize(reps, "rep-classes")
+    joined = signed.select("id", "h", "d1", "d2", "n").join(reps, (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")) & (F.col("n") > 0), "left")
+    kept = F.col("winner").isNull() | (F.col("id").eqNullSafe(F.col("winner.id")) & (F.col("h") == F.col("winner.h")))
+    return joined.select("id", "h", "n", F.when(F.col("winner").isNull(), F.col("id")).otherwise(F.col("winner.id")).alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id of its class), kept (it stands for the class)."""
+    out = classified(docs, similarity, bands, rows, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their class, all their columns; of repeated rows with one id one stays."""
-    found = near_duplicates(docs)
-    kept = materialize(found.where("kept").groupBy(F.col("doc_id").alias("__cl_id")).agg(F.count(F.lit(1)).alias("__cl_n")), "kept-ids")
-    out = docs.join(kept, docs["doc_id"] == F.col("__cl_id"), "left_semi")
-    return out if kept.where("__cl_n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """The documents that stand for their class, all their columns; of repeated rows of one such id and text one stays.
+
+    Documents without words all stay.
+    """
+    found = classified(docs).where("kept").groupBy("id", "h").agg(F.count(F.lit(1)).alias("__cl_rows"), F.max("n").alias("__cl_n"))
+    found = materialize(found.select(F.col("id").alias("__cl_id"), F.col("h").alias("__cl_h"), ((F.col("__cl_rows") > 1) & (F.col("__cl_n") > 0)).alias("__cl_twice")), "kept-ids")
+    keyed = docs.withColumn("__cl_key", F.xxhash64("text"))
+    same = (F.col("__cl_key") == F.col("__cl_h")) & F.col("doc_id").eqNullSafe(F.col("__cl_id"))
+    if found.where("__cl_twice").isEmpty():
+        return keyed.join(found, same, "left_semi").select(*docs.columns)
+    both = keyed.join(found, same)
+    first = both.where("__cl_twice").dropDuplicates(["__cl_key", "doc_id"])
+    return both.where("NOT __cl_twice").unionByName(first).select(*docs.columns)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
