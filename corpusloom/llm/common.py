@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import types
 import uuid
 from collections.abc import Callable
@@ -30,8 +31,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a folder of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder all executors share (spark.checkpoint.dir). Unset, a session in one process takes a folder of its own; a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/corpusloom-local"
     return f"{base.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}"
 
 
