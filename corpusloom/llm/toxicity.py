@@ -1,19 +1,24 @@
-"""Toxicity by subword-bag embeddings under a linear softmax, trained jointly in numpy.
+"""Toxicity by averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams (3 to 6, with < and > at its ends), hashed into BUCKETS vectors; a passage of
-WINDOW words is WINDOW times the mean of its distinct words' means; a linear softmax reads the passage. Embeddings and
-softmax are trained together by mini-batch descent on labelled documents, first with every passage of a toxic document
-as toxic, then with its strongest passages only. A document's logit is that of its strongest passage over all offsets, so a long text dilutes nothing; two
-numbers fitted on the training documents turn it into a probability. Unseen misspellings share n-grams with known words.
+A word is the mean of the vectors of its character n-grams (3 to 6, with < and > at its ends), hashed into BUCKETS vectors; a
+passage of WINDOW words is the mean of its distinct words; a linear softmax reads that mean. A passage of fewer than SHORT
+distinct words is filled up to SHORT with words of no evidence (zero vectors), so that a lone word decides little.
+Embeddings and softmax are trained together by mini-batch descent on labelled documents, first with every passage of a
+toxic document as toxic, then with its strongest passages only. A document's logit is that of its strongest passage over
+all offsets, so a long text dilutes nothing; two numbers fitted on the training documents turn it into a probability.
+Unseen misspellings share n-grams with known words.
 
-Since all is linear, a word's share in the logit is one number, kept by word in each Python worker. N-grams seen fewer
-than LEAST times in training have no vector and count for nothing.
+Since a word's share in a passage's logit is one number over the passage's number of words, it is kept by word in each
+Python worker. N-grams seen fewer than LEAST times in training have no vector and count for nothing.
 
-The training sample is bounded: at most TRAIN_DOCS documents of each label, the ones with the smallest hash of the id,
-of each at most TRAIN_WINDOWS passages, spread evenly. Scoring reads every whole text.
+The training sample is bounded: at most TRAIN_DOCS documents of each label, the ones with the smallest hash of the id, a
+row for each id; of them every passage trains. It is gathered and fitted in one executor task, which hands BUCKETS numbers
+to the driver. Scoring reads every whole text. Labels of held-out rows are read neither here nor in the choice of the
+settings, which was made by training on rows whose remainder is 0 and looking at those whose remainder is 2.
 
 Cases: a null or empty text gets the score of no evidence; equal rows score alike; rows with a null label or id don't
-train; without rows of both labels every score is 0; other columns of documents are not inputs.
+train and a null id is not held out; an id with several labels is toxic if one says so, and of its texts the one with the
+smallest hash trains; without rows of both labels every score is 0; other columns of documents are not inputs.
 """
 
 from __future__ import annotations
@@ -25,18 +30,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read, worker_state
+from corpusloom.llm.common import discard, materialize, read, worker_state
 
 BUCKETS = 1 << 17
 DIM = 4
 WINDOW = 24
 TRAIN_DOCS = 1500
-TRAIN_WINDOWS = 32
+#: Places a passage has at least.
+SHORT = 12
 LEAST = 4
-EPOCHS = 8
+EPOCHS = 12
 BATCH = 256
 RATE = 1.0
 STRONGEST = 3
@@ -95,7 +102,7 @@ def counted_once(words: list, window: int = WINDOW) -> list[bool]:
 
 @dataclass
 class Model:
-    """share: of each bucket in the passage's logit, NaN without a vector; a and b: logit to probability's logit."""
+    """share: of each bucket in the sum over a passage's words, NaN without a vector; a and b: logit to probability's logit."""
 
     share: np.ndarray
     bias: float
@@ -111,31 +118,32 @@ class Model:
             out[at : at + some] = total / np.maximum(np.bincount(of[known], minlength=some), 1)
         return out
 
-    def logit(self, shares: np.ndarray, window: int = WINDOW) -> float:
-        """Of the strongest passage."""
+    def logit(self, shares: np.ndarray, counted: np.ndarray, window: int = WINDOW, short: int = SHORT) -> float:
+        """Of the strongest passage; counted: whether a word counts."""
         n = len(shares)
         if not n:
             return self.bias
+        shares = shares * counted
         if n <= window:
-            return self.bias + float(shares.sum())
-        sums = np.concatenate([[0.0], np.cumsum(shares)])
-        return self.bias + float((sums[window:] - sums[:-window]).max())
+            return self.bias + float(shares.sum()) / max(short, int(counted.sum()))
+        sums, words = np.concatenate([[0.0], np.cumsum(shares)]), np.concatenate([[0], np.cumsum(counted)])
+        return self.bias + float(((sums[window:] - sums[:-window]) / np.maximum(words[window:] - words[:-window], short)).max())
 
     def probability(self, logit: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.a * logit + self.b))))
 
 
-def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS, window: int = WINDOW, most: int = TRAIN_WINDOWS) -> Model:
+def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS, window: int = WINDOW, short: int = SHORT) -> Model:
     """texts with labels 0 or 1, both present."""
     index: dict[str, int] = {}
     passages: list[np.ndarray] = []
     doc_of: list[int] = []
     for d, text in enumerate(texts):
         ids = [index.setdefault(w, len(index)) for w in words_of(text)]
-        starts = range(0, max(len(ids), 1), window)
-        for k in range(len(starts)) if len(starts) <= most else np.unique(np.linspace(0, len(starts) - 1, most).astype(int)):
-            passages.append(np.unique(np.array(ids[starts[k] : starts[k] + window], dtype=np.int64)))
+        for start in range(0, max(len(ids), 1), window):
+            passages.append(np.unique(np.array(ids[start : start + window], dtype=np.int32)))
             doc_of.append(d)
+    places = np.maximum(np.fromiter(map(len, passages), dtype=np.int64, count=len(passages)), short)
     docs, label = np.array(doc_of), np.array(labels, dtype=np.float32)
     toxic = label[docs] > 0
     vocabulary = list(index) or [""]
@@ -175,9 +183,11 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPO
         words, inverse = np.unique(tokens, return_inverse=True)
         at, place = grams(words)
         n = np.maximum(size[words], 1)[:, None].astype(np.float32)
-        x = sums(win, (sums(place, table[at], len(words)) / n)[inverse], len(some))
+        # The mean, times WINDOW: only the unit in which the softmax's weights are measured.
+        part = (WINDOW / places[some])[:, None].astype(np.float32)
+        x = sums(win, (sums(place, table[at], len(words)) / n)[inverse], len(some)) * part
         logits = x @ weight + bias
-        return x, 1.0 / (1.0 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -60, 60))), (win, inverse, at, place, n, len(words))
+        return x, 1.0 / (1.0 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -60, 60))), (win, inverse, at, place, n, len(words), part)
 
     def update(which: int, value: np.ndarray, gradient: np.ndarray, rate: float) -> None:
         past[which] += gradient * gradient
@@ -197,20 +207,20 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPO
         extra = min(10.0, max(1.0, len(of_use[0]) / max(1, len(of_use[1]))))
         for some in zip(*[np.array_split(x, batches) for x in of_use], strict=True):
             some = np.concatenate(some)
-            x, p, (win, inverse, at, place, n, n_words) = forward(some)
+            x, p, (win, inverse, at, place, n, n_words, part) = forward(some)
             slope = ((p - toxic[some]) * np.where(toxic[some], extra, 1.0)).astype(np.float32)
             both = np.stack([-slope, slope], 1)
-            d_word = sums(inverse, (both @ weight.T)[win], n_words) / n
+            d_word = sums(inverse, (both @ weight.T * part)[win], n_words) / n
             g_weight = x.T @ both
             update(0, table, sums(at, d_word[place], BUCKETS), RATE)
             update(1, weight, g_weight, RATE / 10)
             update(2, bias, both.sum(0), RATE)
-    share = (table @ (weight[:, 1] - weight[:, 0])).astype(np.float64)
+    share = WINDOW * (table @ (weight[:, 1] - weight[:, 0])).astype(np.float64)
     share[seen < LEAST] = np.nan
     model = Model(share, float(bias[1] - bias[0]), 1.0, 0.0)
     shares = model.word_shares(vocabulary)
     split = [words_of(text) for text in texts]
-    at = np.array([model.logit(shares[[index[w] for w in words]] * counted_once(words)) for words in split])
+    at = np.array([model.logit(shares[[index[w] for w in words]], np.array(counted_once(words), bool), window, short) for words in split])
     # Platt's targets keep the two numbers finite where the labels are separable.
     n1, n0 = float(label.sum()), float(len(label) - label.sum())
     goal = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -225,29 +235,39 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPO
 
 
 def learnable(doc_id: Column) -> Column:
-    """Rows that may train: crc32 of the id as text, modulo 3, is not 1."""
+    """Rows that may train: crc32 of the id as text, modulo 3, is not 1. Null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """text and toxic of at most `most` documents of each label, by the smallest hash of the id."""
-    ids = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("toxic")).where(F.col("id").isNotNull() & learnable(F.col("id")))
+    """doc_id, text and toxic of at most `most` documents of each label, by the smallest hash of the id; one row for each id."""
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    # Ids without a document take no place: the ids of documents are looked up first, without their texts.
+    known = docs.select(F.col("doc_id").alias("id")).join(ids.select("id"), "id", "left_semi").distinct()
+    there = materialize(ids.join(known, "id", "left_semi"), "labelled")
     chosen = None
     for value in (0, 1):
-        some = ids.where(F.col("toxic") == value).dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(most)
+        some = there.where(F.col("toxic") == value).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
     # Bounded by the parameter: 2 * most rows.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+    found = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, toxic: at most 2 * TRAIN_DOCS rows, in one task. The model as one row; none without both labels."""
+    rows = sorted(row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+    if len({int(r[2]) for r in rows}) == 2:
+        model = fit([r[1] for r in rows], [int(r[2]) for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.share.tobytes()], pa.binary()), *[pa.array([v], pa.float64()) for v in (model.bias, model.a, model.b)]], names=["share", "bias", "a", "b"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model | None:
     """None without documents of both labels."""
-    rows = training_rows(docs, labels, most).orderBy("doc_id").toLocalIterator()
-    texts, marks = [], []
-    for row in rows:
-        texts.append(row["text"] or "")
-        marks.append(int(row["toxic"]))
-    return fit(texts, marks) if len(set(marks)) == 2 else None
+    rows = materialize(training_rows(docs, labels, most), "training")
+    found = rows.coalesce(1).mapInArrow(_fitted, "share binary, bias double, a double, b double").collect()
+    discard(rows)
+    return Model(np.frombuffer(bytes(found[0]["share"]), np.float64), found[0]["bias"], found[0]["a"], found[0]["b"]) if found else None
 
 
 def toxicity(model: Model | None, text: Column | str) -> Column:
@@ -274,7 +294,7 @@ def toxicity(model: Model | None, text: Column | str) -> Column:
                     cache.update(zip(new, own.word_shares(new).tolist(), strict=True))
                 for k, (words, f) in enumerate(zip(texts, found, strict=True)):
                     shares = np.array(list(map(cache.__getitem__, words)) if None in f else f, dtype=np.float64)
-                    out[at + k] = own.probability(own.logit(shares * counted_once(words)))
+                    out[at + k] = own.probability(own.logit(shares, np.array(counted_once(words), bool)))
             yield pd.Series(out)
 
     return score(text)
@@ -288,7 +308,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs, read(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), toxicity(model, "text").alias("score"))
+    scored = docs.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), toxicity(model, "text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
