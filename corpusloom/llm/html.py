@@ -1,12 +1,18 @@
 """Main text of web pages by tree scoring.
 
-The page becomes a tree (tags may be unclosed, crossed or cut off). Boilerplate is pruned: elements that never hold an
-article's text, and elements whose class, id or role names a menu, advert, notice, comment section and the like, unless
-an article or main element stands inside. An element that is marked by its class or id alone is kept where it holds most
-of the page's prose (half of it beside a word of content, else nine tenths): it is a layout's wrapper. Every block with text of its own passes points for its length and commas to
-its parent, half to the grandparent, less to those above; a container's points are discounted by the share of its text
-that stands in links, and the container with the most points is the best. If it lies in an article or main element, that
-element is kept; else the best container and those siblings that score near it or read like prose or headings.
+The page becomes a tree (tags may be unclosed, crossed or cut off). Elements that never hold an article's text (scripts,
+controls, hidden ones) go. Elements that usually hold none are suspects: those named nav, header, footer, aside, form and
+the like, those with such a role, and those whose class or id says menu, advert, notice, comment, teaser and the like. A
+word of a class says so only if nothing before or after it in the same name takes it back ("has-sidebar", "no-share",
+"comments-open"). A suspect is a layout's wrapper, and stays, if the prose in it outweighs the prose outside of all
+suspects: as much, if a word of content or an article or main element stands in it, else WRAPPER times as much; nav,
+header, footer, aside and dialogs need the article or main element. Lists made of links alone are menus and go.
+
+Every block with text of its own passes points for its length and commas to its parent, half to the grandparent, less to
+those above; points are discounted by the share of a container's text that stands in links, lowered in suspects that
+stayed, and raised by a word of content and for article and main elements. The container with the most points is the
+best. If the article or main element around it scores at least half as well, that is taken instead. Siblings of the best are
+kept that score near it or read like prose or headings; an article or main element stands for itself.
 
 White space inside a block becomes one space, a line break among it; blocks are joined in page order by a newline.
 
@@ -29,9 +35,11 @@ from corpusloom.llm.common import read
 
 # Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset(
-    "script style noscript template head title nav header footer aside form button select option textarea input label fieldset iframe object embed svg math canvas audio video map menu dialog datalist output progress".split()
+NEVER = frozenset(
+    "script style noscript template head title button select option textarea input label iframe object embed svg math canvas audio video map datalist output progress".split()
 )
+ASIDE = frozenset("nav header footer aside menu dialog".split())
+FORM = frozenset("form fieldset".split())
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address center details summary hr hgroup search".split()
 )
@@ -50,23 +58,39 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 CONTENT = frozenset("article content post entry story text body main page hentry blog".split())
-# Share of the page's prose from which a marked element is kept, with a word of content and without.
-WRAPPER, BARE_WRAPPER = 0.5, 0.9
-WORDS = re.compile(r"[a-z]+")
-CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
+# Words of a name that take back what stands after them, and before them.
+TAKE_BACK = frozenset("no has with without not hide show is js non".split())
+STATES = frozenset("open closed on off enabled disabled count allowed".split())
+#: How many times the prose outside a suspect must hold that no word of content and no article vouches for.
+WRAPPER = 9
+#: Characters of prose a form must hold to be a layout's wrapper.
+FORM_PROSE = 250
+NAMES, PARTS = re.compile(r"[^\s]+"), re.compile(r"[a-z]+")
+CUT_TAG = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^<>]*\Z")
+
+
+def marks_of(names: str) -> tuple[bool, bool]:
+    """Whether the names of a class or id say boilerplate, and whether they say content."""
+    bad = good = False
+    for name in NAMES.findall(names.lower()):
+        parts = PARTS.findall(name)
+        for k, part in enumerate(parts):
+            good |= part in CONTENT
+            if part in BOILERPLATE and not TAKE_BACK.intersection(parts[:k]) and not (k + 1 < len(parts) and parts[k + 1] in STATES):
+                bad = True
+    return bad, good
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marks", "dropped", "by_words", "prose", "points", "size", "linked", "holds")
+    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "content", "prose", "points", "size", "linked", "links", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, marks: frozenset[str] = frozenset(), dropped: bool = False, by_words: bool = False) -> None:
-        self.tag, self.parent, self.marks, self.dropped = tag, parent, marks, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, suspect: bool = False, content: bool = False) -> None:
+        self.tag, self.parent, self.dropped, self.suspect, self.content = tag, parent, dropped, suspect, content
         self.children: list[Node | str] = []
-        self.by_words = by_words  # dropped for its class or id only
-        self.prose = 0
+        self.prose = 0  # characters outside links and outside suspects below this node
         self.points = 0.0
-        self.size = self.linked = 0
-        self.holds = False  # an article or main element stands inside
+        self.size = self.linked = self.links = 0
+        self.holds = False  # an article or main element that is no suspect stands inside
 
 
 class Builder(HTMLParser):
@@ -80,14 +104,12 @@ class Builder(HTMLParser):
         if tag in ENDS:
             self._end(*ENDS[tag])
         values = dict(attrs)
-        marks = frozenset(WORDS.findall(f"{values.get('class') or ''} {values.get('id') or ''}".lower()))
-        role = (values.get("role") or "").lower()
+        bad, good = marks_of(f"{values.get('class') or ''} {values.get('id') or ''}")
         hidden = "hidden" in values or (values.get("aria-hidden") or "").lower() == "true" or "display:none" in (values.get("style") or "").replace(" ", "").lower()
-        never = tag in DROPPED or hidden or role in ROLES
-        by_words = not never and bool(marks & BOILERPLATE) and tag not in ("html", "body", "article", "main")
-        node = Node(tag, self.at, marks, never or by_words, by_words)
+        suspect = tag in ASIDE or tag in FORM or (values.get("role") or "").lower() in ROLES or bad and tag not in ("html", "body")
+        node = Node(tag, self.at, tag in NEVER or hidden, suspect, good)
         self.at.children.append(node)
-        if tag in ("article", "main"):
+        if tag in ("article", "main") and not suspect:
             above = self.at
             while above and not above.holds:
                 above.holds = True
@@ -123,30 +145,48 @@ def parse(html: str) -> Node:
     builder = Builder()
     builder.feed(CUT_TAG.sub("", html))
     builder.close()
-    keep_wrappers(builder.root)
+    judge_suspects(builder.root)
     return builder.root
 
 
-def keep_wrappers(root: Node) -> None:
-    """Elements that only their class or id marks are no longer dropped if they hold most of the page's prose."""
-    order, stack = [], [root]
+def _order(root: Node) -> list[Node]:
+    """Nodes that are not dropped, parents first."""
+    out, stack = [], [root]
     while stack:
         node = stack.pop()
-        order.append(node)
-        stack.extend(c for c in node.children if isinstance(c, Node) and (c.by_words or not pruned(c)) and c.tag != "a")
-    if not any(n.by_words for n in order):
-        return
-    for node in reversed(order):
-        node.prose += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
-        if node.parent:
-            node.parent.prose += node.prose
-    for node in order:
-        if node.by_words and root.prose and node.prose >= (WRAPPER if node.marks & CONTENT else BARE_WRAPPER) * root.prose:
-            node.dropped = False
+        out.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.dropped)
+    return out
 
 
-def pruned(node: Node) -> bool:
-    return node.dropped and not (node.holds and node.tag not in ("head", "script", "style", "noscript", "template"))
+def judge_suspects(root: Node) -> None:
+    """Suspects that are no wrappers are dropped, and lists of links."""
+    order = _order(root)
+    for node in reversed(order):
+        text = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        node.size += text
+        node.prose += text
+        if node.tag == "a":
+            node.linked, node.prose, node.links = node.size, 0, node.links + 1
+        above = node.parent
+        if above:
+            above.size += node.size
+            above.linked += node.linked
+            above.links += node.links
+            above.prose += 0 if node.suspect else node.prose
+        if node.tag in ("ul", "ol", "dl") and node.links >= 2 and node.linked >= 0.8 * node.size:
+            node.dropped = True
+    outside = root.prose
+    vouched = [(not (n.content or n.holds), -n.prose, k, n) for k, n in enumerate(order) if n.suspect]
+    for bare, _, _, node in sorted(vouched, key=lambda x: x[:3]):
+        least = outside * (WRAPPER if bare else 1)
+        may = not bare and (node.holds or node.tag not in ASIDE) or bare and node.tag not in ASIDE and (node.tag not in FORM or node.prose >= FORM_PROSE)
+        if may and node.prose and node.prose >= least:
+            outside += node.prose
+        else:
+            node.dropped = True
+    for node in order:
+        node.size = node.linked = 0
 
 
 def blocks(roots: list[Node]) -> list[str]:
@@ -168,7 +208,7 @@ def blocks(roots: list[Node]) -> list[str]:
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif not pruned(x):
+        elif not x.dropped:
             block = x.tag in BLOCK
             if block:
                 flush()
@@ -179,13 +219,8 @@ def blocks(roots: list[Node]) -> list[str]:
 
 
 def score(root: Node) -> list[Node]:
-    """Fills points, size (characters) and linked (characters in links); the nodes that are not pruned, children first."""
-    order: list[Node] = []
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(c for c in node.children if isinstance(c, Node) and not pruned(c))
+    """Fills points, size (characters) and linked (characters in links); the nodes that are not dropped, children first."""
+    order = _order(root)
     order.reverse()
     for node in order:
         own, inline_text = [], 0
@@ -193,7 +228,7 @@ def score(root: Node) -> list[Node]:
             if isinstance(c, str):
                 own.append(c)
                 inline_text += len(" ".join(c.split()))
-            elif not pruned(c):
+            elif not c.dropped:
                 node.size += c.size
                 node.linked += c.linked
                 if c.tag not in BLOCK:
@@ -214,8 +249,10 @@ def score(root: Node) -> list[Node]:
                 above = above.parent
             node.points += points * 0.5  # a container may itself hold the text
     for node in order:
-        if node.marks & CONTENT:
+        if node.content:
             node.points *= 1.25
+        if node.suspect:
+            node.points *= 0.5
         if node.tag in ("article", "main"):
             node.points *= 2
         elif node.tag in ("ul", "ol", "dl", "table", "thead", "tbody", "tr"):
@@ -231,16 +268,17 @@ def main_nodes(root: Node) -> list[Node]:
         return []
     if not best.points:  # no block long enough to score: the article if there is one, else all
         return [next((n for n in reversed(order) if n.tag in ("article", "main") and n.size), root)]
-    top = best
-    while top.parent:
-        top = top.parent
-        if top.tag in ("article", "main"):
-            best = top
+    if best.tag not in ("article", "main"):
+        above = best.parent
+        while above and above.tag not in ("article", "main"):
+            above = above.parent
+        if above and above.points >= 0.5 * best.points:
+            best = above
     if best.tag in ("article", "main") or not best.parent or best.parent.tag in ("html", "#root"):
         return [best]
     kept = []
     for c in best.parent.children:
-        if not isinstance(c, Node) or pruned(c):
+        if not isinstance(c, Node) or c.dropped:
             continue
         density = c.linked / c.size if c.size else 1.0
         prose = c.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "table", "ul", "ol", "dl") and density < 0.25

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +57,46 @@ def test_marked_wrappers_keep_the_page(mark):
 @pytest.mark.parametrize("mark", ["class=post-comments", "class=comments", "class=page-header"])
 def test_marked_parts_are_dropped(mark):
     assert html.extract(f"<body><div><p>{PROSE}</p><p>{PROSE}</p></div><div {mark}><p>{PROSE}</p></div></body>") == f"{PROSE}\n{PROSE}"
+
+
+#: Pages whose main text is marked by hand: what stands between the two signs, of each block.
+MARKED = [
+    # A blog: wrappers named after what they stand beside, comments in articles, teasers in an aside.
+    f"""<body class="single has-sidebar"><div id="page" class="site no-ads"><header class="site-header"><a href=/>Home</a><p>Slogan of the site, quite long, with commas, and more.</p></header>
+    <div class="layout with-sidebar"><main><article class="post hentry comments-open"><h1>«Title»</h1><p>«{PROSE}»</p><ul><li>«first, point»</li><li>«second <a href=x>point</a> with more words»</li></ul><p>«{PROSE}»</p>
+    <div class="share-buttons"><a href=a>Share</a></div></article><section class="comments"><article class="comment-body"><p>{PROSE} {PROSE}</p></article><article class="comment"><p>{PROSE}</p></article></section></main>
+    <aside class="related"><article><h3>Another</h3><p>{PROSE}</p></article></aside></div><footer><p>{PROSE}</p></footer></div></body>""",
+    # Tables for layout, no article, a form around everything.
+    f"""<body><form action=x><table><tr><td><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></td><td><h2>«Heading»</h2><p>«{PROSE * 2}»</p><p>«{PROSE} {PROSE}»</p><blockquote>«A quote»</blockquote></td></tr></table><input value=x></form></body>""",
+    # Prose in divs, an advert and a notice between them, an unclassed menu.
+    f"""<div id=wrap><ul><li><a href=a>News</a><li><a href=b>Sport</a></ul><div id=story><div>«{PROSE}»</div><div class=ad-box>{PROSE}</div><div>«{PROSE}»</div><div class="cookie notice">We use cookies, many, and partners, too.</div><h3>«Middle»</h3><div>«{PROSE}»</div></div></div>""",
+    # A short article beside a longer comment section.
+    f"""<main><article><h1>«News»</h1><p>«{PROSE}»</p></article><div id=disqus_thread><p>{PROSE * 3}</p><p>{PROSE * 3}</p></div></main>""",
+    # The article's wrapper is named after a part of it.
+    f"""<div class="header-and-content"><h1>«T»</h1><p>«{PROSE}»</p><p>«{PROSE}»</p><div class=newsletter><p>Sign up, it is free, and weekly.</p></div></div><div class=footer><p>{PROSE}</p></div>""",
+]
+
+
+@pytest.mark.parametrize("page", MARKED)
+def test_pages_marked_by_hand(page):
+    expected = "\n".join(" ".join(re.sub(r"<[^>]*>", "", m).split()) for m in re.findall("«(.*?)»", page, re.DOTALL))
+    assert html.extract(page.replace("«", "").replace("»", "")) == expected
+
+
+@pytest.mark.parametrize(
+    "names, bad",
+    [("has-sidebar", False), ("no-share", False), ("post comments-open", False), ("sidebar-left", True), ("page-header", True), ("related posts", True), ("content", False), ("with_ads main", False), ("toc", True), ("adserver", False)],
+)
+def test_names(names, bad):
+    assert html.marks_of(names)[0] is bad
+
+
+def test_empty_repeated_and_clashing(spark, tmp_path):
+    """Whole tables: none, the same page twice, null ids, and columns named like the results."""
+    page = f"<article><p>{PROSE}</p></article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, None), (2**60 + 1, "v", "<p>5 <")], "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit("y"))
+    df.write.parquet(str(tmp_path / "a/pages.parquet"))
+    df.limit(0).write.parquet(str(tmp_path / "b/pages.parquet"))
+    rows = [tuple(r) for r in html.op7_html(spark, str(tmp_path / "a")).collect()]
+    assert sorted(rows, key=str) == sorted([(1, "u", PROSE, len(PROSE))] * 2 + [(None, None, "", 0), (2**60 + 1, "v", "5 <", 3)], key=str)
+    assert html.op7_html(spark, str(tmp_path / "b")).collect() == []
