@@ -1,13 +1,15 @@
 """License scans by ordered signature rules.
 
 A text is lower-cased (A-Z) and reduced to its words with one space between; rules are regexes over that string. Each
-rule has a keyword that must occur before the regex is tried and that all its matches contain, a label, a priority and a confidence. Detections are
-taken by priority, then length, then place; one that lies inside an interval already taken is suppressed, so "gnu lesser
-general public license" is no second, plain GPL. Rules are made from the tables of licences and phrasings below: some
-hundreds. The three base phrases are counted at all their places and their labels are never suppressed.
+rule has a keyword that all its matches contain and that must occur before the regex is tried, a label, a priority and a
+confidence. Detections are taken by priority, then length, then place, then the rule's name; one that lies inside an interval
+already taken is suppressed, so "gnu lesser general public license" is no second, plain GPL. Rules are of three kinds, some
+hundreds in all: sentences of licences' texts and notices written out one by one, names in every phrasing that grants or cites a licence, and
+machine-readable identifiers. The three base phrases are counted at all their places and their labels are never suppressed.
 
 Cases: a null or empty text has no words and no labels and scores 0; equal rows are scanned one by one; a text of any
-length is scanned whole; an empty table gives an empty result; other columns are not read.
+length is scanned whole, in time linear in its length and places; detections of equal priority, length and place go by the
+rule's name; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -115,6 +118,125 @@ SENTENCES = (
     ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 40, 0.8),
 )
 
+# Sentences of licences' texts and of the notices that apply them, and references to them.
+SENTENCES += (
+    ("gpl", "general public license as published", r"terms of the gnu general public license as published by the free software foundation(?: either version [123])?", 82, 0.99),
+    ("gpl", "protect your rights", r"to protect your rights we need to (?:make restrictions|prevent others)", 70, 0.9),
+    ("gpl", "changed the files and the date", r"carry prominent notices stating that you changed the files and the date of any change", 72, 0.95),
+    ("gpl", "useful but without any warranty", r"in the hope that it will be useful but without any warranty", 40, 0.7),
+    ("gpl", "freedom to share", r"(?:designed|intended) to guarantee your freedom to share and change", 72, 0.95),
+    ("gpl", "copyleft license for", r"(?:is )?a free copyleft license for software and other kinds of works", 72, 0.95),
+    ("gpl", "gnu org licenses gpl", r"gnu org licenses gpl(?: [123] 0)?(?: html| txt)?", 60, 0.9),
+    ("lgpl", "lesser general public license as published", r"terms of the gnu lesser general public license as published by the free software foundation", 84, 0.99),
+    ("lgpl", "library general public license as published", r"terms of the gnu library general public license as published by the free software foundation", 84, 0.99),
+    ("lgpl", "works that use the library", r"works that use the library", 65, 0.85),
+    ("lgpl", "specially designated software packages", r"some specially designated software packages typically libraries", 72, 0.95),
+    ("lgpl", "gnu org licenses lgpl", r"gnu org licenses lgpl(?: [23] [01])?(?: html| txt)?", 61, 0.9),
+    ("agpl", "affero general public license as published", r"terms of the gnu affero general public license as published by the free software foundation", 84, 0.99),
+    ("agpl", "remotely through a computer network", r"interacting with it remotely through a computer network", 74, 0.95),
+    ("agpl", "gnu org licenses agpl", r"gnu org licenses agpl(?: 3 0)?(?: html| txt)?", 61, 0.9),
+    ("gfdl", "invariant sections", r"with no invariant sections(?: no front cover texts and no back cover texts)?", 76, 0.97),
+    ("gfdl", "functional and useful document", r"make a manual textbook or other functional and useful document free", 72, 0.95),
+    ("apache", "licensed to the apache software foundation", r"licensed to the apache software foundation asf under one or more contributor license agreements", 84, 0.99),
+    ("apache", "apache org licenses", r"(?:www )?apache org licenses(?: license [12] [01])?", 60, 0.95),
+    ("apache", "distributed on an as is basis", r"distributed under the license is distributed on an as is basis", 72, 0.9),
+    ("apache", "perpetual worldwide non exclusive", r"grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license", 72, 0.9),
+    ("apache", "redistribution must", r"redistribution must include the following acknowled?gment this product includes software developed by the apache", 74, 0.95),
+    ("mit", "above copyright notice and this permission notice", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software", 82, 0.98),
+    ("mit", "deal in the software without restriction", r"to deal in the software without restriction", 78, 0.97),
+    ("mit", "tort or otherwise arising from", r"whether in an action of contract tort or otherwise arising from out of or in connection with the software", 70, 0.9),
+    ("mit", "opensource org licenses mit", r"opensource org licenses mit(?: license)?(?: php| html)?", 60, 0.95),
+    ("mit", "mit licensed", r"(?:is |are )?mit licensed", 35, 0.85),
+    ("x11", "x consortium shall not be used", r"the name of the x consortium shall not be used in advertising", 78, 0.97),
+    ("bsd", "redistributions of source code must retain", r"redistributions of source code must retain the above copyright notice", 78, 0.95),
+    ("bsd", "redistributions in binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice", 78, 0.95),
+    ("bsd", "mentioning features or use", r"all advertising materials mentioning features or use of this software must display", 76, 0.95),
+    ("bsd", "procurement of substitute goods", r"procurement of substitute goods or services loss of use data or profits", 60, 0.8),
+    ("bsd", "bsd style license", r"(?:under an? )?bsd style license", 45, 0.85),
+    ("bsd", "opensource org licenses bsd", r"opensource org licenses bsd(?: license)?(?: php)?", 60, 0.95),
+    ("isc", "performance of this software", r"use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", 74, 0.9),
+    ("isc", "isc licensed", r"isc licensed", 35, 0.85),
+    ("mpl", "subject to the terms of the mozilla", r"this source code form is subject to the terms of the mozilla public license(?: v)?(?: 2 0)?", 84, 0.99),
+    ("mpl", "mozilla org", r"(?:www )?mozilla org (?:mpl|en us mpl)(?: [12] [01])?", 60, 0.95),
+    ("mpl", "incompatible with secondary licenses", r"incompatible with secondary licenses", 70, 0.9),
+    ("mpl", "contents of this file are subject to the mozilla", r"the contents of this file are subject to the mozilla public license", 84, 0.99),
+    ("npl", "contents of this file are subject to the netscape", r"the contents of this file are subject to the netscape public license", 84, 0.99),
+    ("epl", "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of the eclipse public license", 84, 0.99),
+    ("epl", "eclipse org", r"(?:www )?eclipse org (?:legal|org documents) e[pd]l(?: v)?(?: ?[12]0| [12] 0)?(?: html)?", 60, 0.95),
+    ("cpl", "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of the common public license", 84, 0.99),
+    ("cddl", "subject to the terms of the common development", r"the contents of this file are subject to the terms of the common development and distribution license", 84, 0.99),
+    ("cddl", "opensolaris org os licensing", r"opensolaris org os licensing", 60, 0.9),
+    ("boost", "boost org license", r"(?:www )?boost org license 1 0 txt", 60, 0.97),
+    ("boost", "machine executable object code", r"machine executable object code generated by a source language processor", 74, 0.95),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such", 78, 0.97),
+    ("zlib", "origin of this software must not be misrepresented", r"the origin of this software must not be misrepresented", 78, 0.97),
+    ("libpng", "png reference library", r"png reference library is supplied as is", 76, 0.95),
+    ("artistic", "semblance of artistic control", r"maintains? some semblance of artistic control", 76, 0.97),
+    ("artistic", "same terms as perl", r"(?:under the )?same terms as perl(?: itself)?", 60, 0.9),
+    ("unlicense", "unlicense org", r"(?:refer to )?(?:https? )?unlicense org", 60, 0.95),
+    ("unlicense", "any and all copyright interest", r"dedicates? any and all copyright interest in the software to the public domain", 76, 0.95),
+    ("wtfpl", "you just do what", r"you just do what the fuck you want to", 80, 0.97),
+    ("cc0", "waived all copyright and related", r"waived all copyright and related or neighboring rights", 78, 0.97),
+    ("cc0", "creativecommons org publicdomain zero", r"creativecommons org publicdomain zero 1 0", 70, 0.98),
+    ("public-domain", "creativecommons org publicdomain mark", r"creativecommons org publicdomain mark 1 0", 70, 0.95),
+    ("cc-by", "creativecommons org licenses by", r"creativecommons org licenses by(?: [1234] [05])?", 68, 0.97),
+    ("cc-by-sa", "creativecommons org licenses by sa", r"creativecommons org licenses by sa(?: [1234] [05])?", 69, 0.98),
+    ("cc-by-nc", "creativecommons org licenses by nc", r"creativecommons org licenses by nc(?: (?:sa|nd))?(?: [1234] [05])?", 69, 0.98),
+    ("cc-by-nd", "creativecommons org licenses by nd", r"creativecommons org licenses by nd(?: [1234] [05])?", 69, 0.98),
+    ("cc-by-sa", "cc by sa", r"cc by sa(?: [1234] [05])?", 50, 0.9),
+    ("cc-by-nc", "cc by nc", r"cc by nc(?: (?:sa|nd))?(?: [1234] [05])?", 50, 0.9),
+    ("cc-by-nd", "cc by nd", r"cc by nd(?: [1234] [05])?", 50, 0.9),
+    ("cc-by", "cc by", r"cc by [1234] [05]", 48, 0.85),
+    ("eupl", "licensed under the eupl", r"licensed under the eupl(?: version)?(?: 1 [012])?", 70, 0.97),
+    ("osl", "licensed under the open software license", r"licensed under the open software license version [123] [01]", 74, 0.97),
+    ("afl", "licensed under the academic free license", r"licensed under the academic free license version [123] [012]", 74, 0.97),
+    ("ofl", "reserved font name", r"with reserved font names?", 70, 0.95),
+    ("ofl", "scripts sil org ofl", r"scripts sil org ofl", 60, 0.95),
+    ("python", "python software foundation", r"python software foundation(?: psf)? is making python available", 76, 0.97),
+    ("python", "all rights reserved", r"copyright (?:c )?(?:[0-9]{4} )+python software foundation all rights reserved", 60, 0.9),
+    ("php", "product includes php", r"this product includes php(?: software)? freely available from", 76, 0.97),
+    ("php", "php net license", r"(?:www )?php net license(?: 3 01? txt)?", 60, 0.95),
+    ("ruby", "same terms as ruby", r"same terms as ruby(?: itself)?", 60, 0.9),
+    ("postgresql", "university of california be liable", r"in no event shall the university of california be liable to any party", 72, 0.9),
+    ("openssl", "openssl toolkit", r"developed by the openssl project for use in the openssl toolkit", 78, 0.97),
+    ("ssleay", "cryptographic software written by", r"includes cryptographic software written by eric young", 78, 0.97),
+    ("ms-pl", "accept this license", r"if you use the software you accept this license if you do not accept the license do not use the software", 74, 0.93),
+    ("apsl", "original code and or modifications", r"this file contains original code and or modifications of original code as defined in", 78, 0.97),
+    ("lppl", "conditions of the latex project", r"under the conditions of the latex project public license(?: either version 1 [0-3]c?)?", 80, 0.98),
+    ("lppl", "latex project org lppl", r"latex project org lppl(?: lppl)?(?: 1 [0-3]c?)?(?: txt| html)?", 60, 0.95),
+    ("ncsa", "deal with the software without restriction", r"to deal with the software without restriction", 78, 0.95),
+    ("w3c", "w3 org consortium legal", r"(?:www )?w3 org consortium legal", 60, 0.9),
+    ("vim", "vim is charityware", r"vim is charityware", 76, 0.97),
+    ("zpl", "zope public license", r"subject to the provisions of the zope public license(?: version [12] [01])?", 80, 0.98),
+    ("sspl", "offering the program as a service", r"offering the program as a service", 76, 0.95),
+    ("bsl", "additional use grant", r"additional use grant", 70, 0.9),
+    ("bsl", "change date", r"(?:on the|the) change date (?:and|or) the", 55, 0.7),
+    ("elastic", "hosted or managed service", r"provide the software to third parties as a hosted or managed service", 76, 0.95),
+    ("odbl", "opendatacommons org licenses odbl", r"opendatacommons org licenses odbl(?: 1 0)?", 66, 0.97),
+    ("odc-by", "opendatacommons org licenses by", r"opendatacommons org licenses by(?: 1 0)?", 66, 0.97),
+    ("cecill", "governed by the cecill", r"this software is governed by the cecill(?: [bc])? license", 80, 0.98),
+    ("cecill", "cecill info", r"(?:www )?cecill info", 60, 0.9),
+    ("mulan", "mulan psl", r"mulan psl ?v[12]", 70, 0.97),
+    ("commons-clause", "commons clause", r"commons clause(?: license condition)?", 70, 0.95),
+    ("json", "good not evil", r"the software shall be used for good not evil", 82, 0.99),
+    ("beerware", "beer ware license", r"the beer ware license(?: revision 42)?", 78, 0.98),
+    ("hippocratic", "hippocratic license", r"hippocratic license(?: version)?(?: [123] [01])?", 60, 0.95),
+    ("curl", "permission to use copy modify", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 79, 0.9),
+    ("hpnd", "permission to use copy modify", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 81, 0.97),
+    ("ntp", "permission to use copy modify", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted", 82, 0.97),
+    ("fair", "usage of the works is permitted", r"usage of the works is permitted provided that this instrument is retained", 82, 0.99),
+    ("freetype", "freetype project license", r"(?:the )?freetype project license", 60, 0.95),
+    ("ijg", "independent jpeg group", r"based in part on the work of the independent jpeg group", 76, 0.97),
+    ("unicode", "unicode inc", r"unicode inc license agreement data files and software", 78, 0.98),
+    ("icu", "icu license", r"icu license(?: icu 1 8 1 and later)?", 60, 0.95),
+    ("tcl", "copyrighted by the regents", r"this software is copyrighted by the regents of the university of california sun microsystems", 78, 0.97),
+    ("proprietary", "trade secret", r"(?:contains|is) (?:the )?(?:confidential|proprietary) (?:information and )?trade secrets?", 45, 0.8),
+    ("proprietary", "may not be reproduced", r"may not be reproduced (?:or )?(?:distributed )?(?:in any form )?without (?:the )?(?:prior |express )?written (?:permission|consent)", 45, 0.75),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of (?:this|these) (?:file|files|software|document) (?:via any medium )?is strictly prohibited", 60, 0.95),
+    ("proprietary", "end user license agreement", r"end user license agreement", 30, 0.6),
+    ("proprietary", "internal use only", r"for internal use only", 15, 0.3),
+)
+
 # Identifiers after "spdx license identifier" and their labels.
 SPDX = (
     ("mit", r"mit"), ("apache", r"apache 2 0"), ("gpl", r"gpl [123] 0(?: only| or later)?"), ("lgpl", r"lgpl [23] [01](?: only| or later)?"),
@@ -123,10 +245,6 @@ SPDX = (
     ("cc-by", r"cc by [1234] 0"), ("cc-by-sa", r"cc by sa [1234] 0"), ("ofl", r"ofl 1 [01]"), ("artistic", r"artistic [12] 0"),
 )
 
-#: A text without any of these can match no rule.
-STEMS = (b"licen", b"permission", b"redistribut", b"unencumbered", b"public domain", b"rights reserved", b"proprietary", b"held liable", b"endorse or promote", b"this file except", b"organization obtaining a copy")
-
-
 #: No pattern spans more words than this.
 LONGEST = 128
 
@@ -154,6 +272,10 @@ def build_rules() -> list[Rule]:
     return out
 
 
+#: A text without any of these can match no rule: "licen" stands in all that name a licence or an identifier.
+STEMS = tuple(dict.fromkeys([b"licen", *(keyword.encode() for _, keyword, _, _, _ in SENTENCES if "licen" not in keyword)]))
+
+
 def _compiled() -> list[tuple[Rule, re.Pattern[bytes]]]:
     return [(r, re.compile(rb"(?<= )(?:" + r.pattern.encode() + rb")(?= )")) for r in build_rules()]
 
@@ -163,31 +285,46 @@ def fold(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def base_places(line: bytes) -> list[tuple[int, str]]:
+def spaces_of(line: bytes) -> np.ndarray:
+    """Places of the spaces: the word after the k-th one is word k."""
+    return np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+
+
+def base_places(line: bytes, spaces: np.ndarray | None = None) -> list[tuple[int, str]]:
     """Start word and label of every place of a base phrase; line: words with one space before, between and after."""
-    out = []
+    at, labels = [], []
     for phrase, label in BASE:
-        at = line.find(b" " + phrase + b" ")
-        while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
-            at = line.find(b" " + phrase + b" ", at + 1)
-    return sorted(out)
+        k = line.find(b" " + phrase + b" ")
+        while k >= 0:
+            at.append(k)
+            labels.append(label)
+            k = line.find(b" " + phrase + b" ", k + 1)
+    if not at:
+        return []
+    words = np.searchsorted(spaces_of(line) if spaces is None else spaces, at).tolist()
+    return sorted(zip(words, labels, strict=True))
+
 
+def detect(line: bytes, rules: list[tuple[Rule, re.Pattern[bytes]]], gated: bool = True) -> list[tuple[str, str, int, int, float]]:
+    """Detections that hold: rule, label, first word, word after the last, confidence, in order of place.
 
-def detect(line: bytes, rules: list[tuple[Rule, re.Pattern[bytes]]]) -> list[tuple[str, str, int, int, float]]:
-    """Detections that hold: rule, label, first word, word after the last, confidence, in order of place."""
-    if not any(s in line for s in STEMS):
+    gated: rules whose keyword does not occur are not tried, which changes nothing but the time.
+    """
+    if gated and not any(s in line for s in STEMS):
         return []
     known: dict[bytes, bool] = {}
-    found = []
+    at, hits = [], []
     for rule, pattern in rules:
         if rule.keyword not in known:
-            known[rule.keyword] = rule.keyword in line
+            known[rule.keyword] = not gated or rule.keyword in line
         if known[rule.keyword]:
             for m in pattern.finditer(line):
-                start = line.count(b" ", 0, m.start()) - 1
-                found.append((-rule.priority, -m[0].count(b" "), start, rule))
-    found.sort(key=lambda x: (*x[:3], x[3].name))
+                at.append(m.start())
+                hits.append((rule, m[0].count(b" ")))
+    if not at:
+        return []
+    starts = (np.searchsorted(spaces_of(line), at) - 1).tolist()
+    found = sorted(((-rule.priority, -spaces, start, rule) for start, (rule, spaces) in zip(starts, hits, strict=True)), key=lambda x: (*x[:3], x[3].name))
     furthest: dict[int, int] = {}  # by start of a kept interval
     out = []
     for _, spaces, start, rule in found:

@@ -1,6 +1,7 @@
 import dataclasses
 import itertools
 import re
+import time
 from re import _parser
 
 import pytest
@@ -55,6 +56,32 @@ def test_many_places_stay_linear():
     assert len(found) == 20_000
 
 
+def test_time_grows_with_the_text():
+    rules = licenses._compiled()
+
+    def seconds(n):
+        line = b" " + b"the mit license and " * n
+        began = time.process_time()
+        assert len(licenses.base_places(line)) == len(licenses.detect(line, rules)) == n
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 12 * seconds(20_000)  # 16 times if it were quadratic, 4 if linear
+
+
+def test_places_of_ties():
+    """Equal priority, length and place: by the name of the rule."""
+    rules = [(licenses.Rule(n, n, b"x", "x y", 5, 0.5), re.compile(rb"(?<= )x y(?= )")) for n in ("b", "a")]
+    assert [d[0] for d in licenses.detect(b" x y x y ", rules, gated=False)] == ["a", "a"]
+
+
+def test_gates_change_nothing_on_the_fixtures(table):
+    rules = licenses._compiled()
+    for r in table("documents").select("text").collect():
+        line = b" " + b" ".join(licenses.fold(r["text"])) + b" "
+        assert licenses.detect(line, rules) == licenses.detect(line, rules, gated=False)
+
+
 def test_rules_match_with_and_without_the_prefilter():
     everything = [(r, p) for r, p in licenses._compiled()]
     text = "Released under the MIT License. See the GNU General Public License v3, or the BSD 3-Clause License; all rights reserved."
