@@ -147,10 +147,14 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents the rules keep, all their columns. Features are computed twice, which is cheaper than moving texts."""
-    featured = with_features(docs.select("doc_id", "lang", "text"), "text").drop("text")
+    """The documents the rules keep, all their columns.
+
+    The table is written once with its features beside it: no text is read twice by the rules, and none goes through an
+    exchange. The cutoffs are read from the features alone.
+    """
+    featured = materialize(with_features(docs, "text"), "quality-documents")
     cutoffs = materialize(certified_cutoffs(holdout_of(featured, labels)), "quality-cutoffs")
-    return judged(with_features(docs, "text"), cutoffs).where("__q_kept").select(*docs.columns)
+    return judged(featured, cutoffs).where("__q_kept").select(*docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

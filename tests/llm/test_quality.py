@@ -54,7 +54,8 @@ def test_cutoffs_hold_the_exact_bound(spark, n, share):
 def test_stage_keeps_columns(spark, messy, table):
     kept = quality.drop_low_quality(messy, table("labels"))
     assert kept.columns == messy.columns
-    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [5, 5, 6, 7]  # the long text repeats its words
+    # The long text repeats its words.
+    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == Counter([5, 5, 6, 7, None, None, 2**60 + 1, 2**60 + 3])
     assert quality.drop_low_quality(messy.limit(0), table("labels").limit(0)).count() == 0
 
 
@@ -66,3 +67,19 @@ def test_no_python_on_the_main_path(spark, sf):
 def test_null_labels(spark, messy):
     labels = spark.createDataFrame([(5, None), (None, 1), (6, 0), (6, 1)], "doc_id long, quality int")
     assert quality.quality_verdicts(messy, labels).count() == messy.count()
+
+
+def test_certified_cutoffs_as_in_sql(spark, tmp_path, oracle, rows_of):
+    """Enough labels for cutoffs in one stratum and a half: query, SQL and stage agree, and the rules reject."""
+    words = "concat_ws(' ', transform(sequence(1, 60), k -> concat('w', k, 'x', id)))"
+    bad = "(id % 5 = 0)"
+    docs = spark.range(6000).selectExpr("id AS doc_id", f"IF({bad}, concat({words}, repeat(' ###', 20 + int(id % 7)), IF(id % 2 = 0, repeat(' Loud!', 40), '')), {words}) AS text", "IF(id % 3 = 0, 'de', IF(id % 50 = 1, NULL, 'en')) AS lang", "'s' AS source", "1L AS n_chars")
+    labels = spark.range(6000).where("id % 7 < 6").selectExpr("id AS doc_id", f"int(NOT {bad} OR id % 365 = 0) AS quality", "0 AS toxic")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.op3_quality(spark, str(tmp_path)).toPandas()
+    rejected = got[~got.kept & ~got.base_failed]
+    assert len(rejected) > 300
+    assert rows_of(got) == rows_of(oracle(quality.QUALITY_SQL, str(tmp_path)))
+    stage = quality.drop_low_quality(spark.read.parquet(str(tmp_path / "documents.parquet")), labels)
+    assert sorted(r["doc_id"] for r in stage.select("doc_id").collect()) == sorted(got[got.kept].doc_id)
