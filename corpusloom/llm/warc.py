@@ -5,7 +5,8 @@ an as-of join. Rows get a total order (URL key, time, id) and are spread by a ra
 with a third of all captures is split too. In each partition a window carries the last response of the key down; across
 partitions only the last response of each partition's last key is passed on, one row for each. Validators decide: equal
 entity tags (weak comparison), or, where a side has no tag, equal Last-Modified dates. The resolved record has the
-response's headers with those of the 304 laid over them that RFC 9111 permits a 304 to update.
+response's headers with those of the 304 laid over them, but for the ones RFC 9111 (3.1, 3.2) keeps from updating a stored
+response: fields of the connection and those it names, of proxy authentication, and those that describe the stored body.
 
 Cases: captures with a null or unparsable URL have the empty key and are resolved by nothing; a revisit without a time
 is not resolved and a response without one resolves nothing; of responses at the same time the one with the larger id is
@@ -25,8 +26,13 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.common import materialize, read
 
-#: Header fields a 304 may update in the stored response.
-PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
+# Header fields a 304 doesn't update in the stored response; those named by its Connection field are others.
+EXCLUDED = (
+    "connection", "proxy-connection", "keep-alive", "te", "trailer", "transfer-encoding", "upgrade", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization",
+    "content-encoding", "content-length", "content-range", "content-type",
+)
+#: Bytes unpacked at a time.
+CHUNK = 1 << 20
 
 RECORD = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("warc_type", T.StringType()), T.StructField("record_id", T.StringType()),
@@ -49,38 +55,69 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped (one member for each record or for all)."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The data in chunks; gzipped data unpacked, whether it has one member for each record or for all."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), CHUNK):
+            yield data[at : at + CHUNK]
+        return
+    member, at = zlib.decompressobj(31), 0
+    while at < len(data) or member.unconsumed_tail:
+        rest = member.unconsumed_tail
+        if not rest:
+            rest, at = data[at : at + CHUNK], min(at + CHUNK, len(data))
+        yield member.decompress(rest, CHUNK)
+        if member.eof:
+            at -= len(member.unused_data)
             member = zlib.decompressobj(31)
-            parts.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+    yield member.flush()  # of a file that ends inside a member
+
+
+def _record(warc: dict[str, str], content: bytes, offset: int) -> dict:
+    status, headers, body = None, {}, content
+    if warc.get("content-type", "").startswith("application/http") and content.startswith(b"HTTP/"):
+        head, _, body = content.partition(b"\r\n\r\n")
+        first, _, rest = head.partition(b"\r\n")
+        words = first.split()
+        status, headers = int(words[1]) if len(words) > 1 and words[1].isdigit() else None, _headers(rest)
+    return {
+        "offset": offset, "warc_type": warc.get("warc-type"), "record_id": warc.get("warc-record-id"), "url": (warc.get("warc-target-uri") or "").strip("<>") or None,
+        "date": warc.get("warc-date"), "refers_to": warc.get("warc-refers-to"), "status": status, "headers": headers, "body": body,
+    }
+
+
+def parse_warc(data: bytes) -> Iterator[dict]:
+    """Records of a WARC file, plain or gzipped. One record is held at a time beside the packed data; a cut-off one ends the file."""
+    buffer, start, chunks = bytearray(), 0, unpacked(data)  # start: of the buffer, in the unpacked file
+    warc: dict[str, str] | None = None
+    while True:
+        if warc is None:
+            at = buffer.find(b"WARC/")
+            end = buffer.find(b"\r\n\r\n", at) if at >= 0 else -1
+            if end >= 0:
+                warc, offset = _headers(bytes(buffer[at:end])), start + at
+                size = warc.get("content-length") or "0"
+                length = int(size) if size.isdigit() else 0
+                del buffer[: end + 4]
+                start += end + 4
+                continue
+            if at < 0 and len(buffer) > 4:  # a sign may lie across two chunks
+                start += len(buffer) - 4
+                del buffer[:-4]
+        elif len(buffer) >= length:
+            yield _record(warc, bytes(buffer[:length]), offset)
+            del buffer[:length]
+            start += length
+            warc = None
+            continue
+        chunk = next(chunks, None)
+        if chunk is None:
             return
-        warc = _headers(data[at:end])
-        length = int(warc.get("content-length") or 0)
-        content = data[end + 4 : end + 4 + length]
-        status, headers, body = None, {}, content
-        if warc.get("content-type", "").startswith("application/http") and content.startswith(b"HTTP/"):
-            head, _, body = content.partition(b"\r\n\r\n")
-            first, _, rest = head.partition(b"\r\n")
-            words = first.split()
-            status, headers = int(words[1]) if len(words) > 1 and words[1].isdigit() else None, _headers(rest)
-        yield {
-            "offset": at, "warc_type": warc.get("warc-type"), "record_id": warc.get("warc-record-id"), "url": (warc.get("warc-target-uri") or "").strip("<>") or None,
-            "date": warc.get("warc-date"), "refers_to": warc.get("warc-refers-to"), "status": status, "headers": headers, "body": body,
-        }
-        at = end + 4 + length
+        buffer += chunk
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, one task or more for each file; offset: in the unpacked file."""
+    """Records of WARC files, one task for each file, which holds the packed file (2 GB at most) and a record; offset: in the unpacked file."""
     fields = {f.name: f for f in RECORD.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +173,23 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(headers["etag"], "^W/", "")
 
 
-def merged_headers(stored: Column, update: Column, permitted: tuple[str, ...] = PERMITTED) -> Column:
-    """The stored headers with the permitted ones of the update laid over them."""
-    new = F.map_filter(F.coalesce(update, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*permitted) & v.isNotNull())
+def merged_headers(stored: Column, update: Column, excluded: tuple[str, ...] = EXCLUDED) -> Column:
+    """The stored headers with those of the update laid over them that are not excluded."""
+    given = F.coalesce(update, F.create_map().cast("map<string,string>"))
+    named = F.transform(F.split(F.lower(F.coalesce(given["connection"], F.lit(""))), ","), lambda x: F.trim(x))
+    new = F.map_filter(given, lambda k, v: ~k.isin(*excluded) & ~F.array_contains(named, k) & v.isNotNull())
     return F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
 
 
+def captures_of_records(records: DataFrame) -> DataFrame:
+    """Captures for resolve_revisits() of read_warc()'s rows: id (the record's), url, ts (microseconds), status, headers.
+
+    A response is a capture with its own status; of revisits those with a status of 304 are, others have a body elsewhere.
+    """
+    wanted = (F.col("warc_type") == "response") | ((F.col("warc_type") == "revisit") & (F.col("status") == 304))
+    return records.where(wanted).select(F.col("record_id").alias("id"), "url", F.unix_micros(F.try_to_timestamp(F.col("date"))).alias("ts"), "status", "headers")
+
+
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """captures: id, url, ts, status, headers (map, lower-case names). One row for each revisit (status 304).
 
@@ -177,28 +225,40 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """Two captures for each page: its response, and a later 304 that carries the page's entity tag."""
+    """Captures in the life of each page, at eight times its id and a little more, so that pages of one URL interleave.
+
+    A full response with an entity tag; a revisit with the tag, weakly; a second response, of every third page with a date
+    only, else with another tag; a revisit with that date, that tag, or a tag that fits neither. Every fourth page has a
+    revisit before all these too, which an earlier page of the URL resolves, or none.
+    """
     text = F.coalesce("html", F.lit(""))
     tag = F.concat(F.lit('"'), F.md5(F.encode(text, "UTF-8")), F.lit('"'))
-    response = F.map_from_arrays(
-        F.array(*map(F.lit, ("content-type", "content-length", "cache-control", "etag", "date"))),
-        F.array(F.lit("text/html"), F.octet_length(text).cast("string"), F.lit("max-age=60"), tag, F.col("page_id").cast("string")),
+    page = F.col("page_id")
+    date = F.concat(F.lit("day "), page)
+    full = {"content-type": F.lit("text/html"), "content-length": F.octet_length(text).cast("string"), "cache-control": F.lit("max-age=60"), "link": F.lit("</a>; rel=prev")}
+    bare = {"content-length": F.lit("0"), "cache-control": F.lit("max-age=120"), "connection": F.lit("close, X-Hop"), "x-hop": F.lit("1")}
+    second = {"etag": F.when(page % 3 != 0, F.concat(F.lit('"2'), tag)), "last-modified": F.when(page % 3 == 0, date)}
+    events = (
+        (page % 4 == 0, 7, 304, bare | {"etag": tag}, -1),
+        (F.lit(True), 0, 200, full | {"etag": tag, "last-modified": date}, 0),
+        (F.lit(True), 1, 304, bare | {"etag": F.concat(F.lit("W/"), tag), "link": F.lit("</b>; rel=next")}, 2),
+        (F.lit(True), 2, 200, full | second, 4),
+        (F.lit(True), 3, 304, bare | {"etag": F.when(page % 3 == 1, second["etag"]).when(page % 3 == 2, F.lit('"other"')), "last-modified": second["last-modified"]}, 6),
     )
-    later = F.col("page_id") + 1_000_000_000
-    revisit = F.map_from_arrays(F.array(*map(F.lit, ("content-length", "cache-control", "etag", "date"))), F.array(F.lit("0"), F.lit("max-age=120"), F.concat(F.lit("W/"), tag), later.cast("string")))
-    either = F.explode(
-        F.array(
-            F.struct((2 * F.col("page_id")).alias("id"), F.col("page_id").alias("ts"), F.lit(200).alias("status"), response.alias("headers")),
-            F.struct((2 * F.col("page_id") + 1).alias("id"), later.alias("ts"), F.lit(304).alias("status"), revisit.alias("headers")),
-        )
-    )
-    return pages.select("url", either.alias("c")).select("c.id", "url", "c.ts", "c.status", "c.headers")
+    rows = []
+    for there, number, status, headers, after in events:
+        at = 8 * page + after
+        named = headers | {"date": at.cast("string")}
+        as_map = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*named.values())), lambda k, v: v.isNotNull())
+        rows.append(F.when(there, F.struct((8 * page + number).alias("id"), at.alias("ts"), F.lit(status).alias("status"), as_map.alias("headers"))))
+    either = F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("c")
+    return pages.select("url", either).select("c.id", "url", "c.ts", "c.status", "c.headers")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resolve_revisits(captures_of(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return out.select(F.expr("id div 2").alias("page_id"), "url_key", "resolution", F.expr("matched_id div 2").alias("matched_page"), F.array_join(lines, "\n").alias("headers"))
+    return out.select(F.expr("id div 8").alias("page_id"), F.expr("int(id % 8)").alias("capture"), "url_key", "resolution", F.expr("matched_id div 8").alias("matched_page"), F.expr("int(matched_id % 8)").alias("matched_capture"), F.array_join(lines, "\n").alias("headers"))
 
 
 def _canonical_sql(url: str) -> str:
@@ -208,18 +268,37 @@ def _canonical_sql(url: str) -> str:
     return out
 
 
+_FULL = "'content-type': 'text/html', 'content-length': size, 'cache-control': 'max-age=60', 'link': '</a>; rel=prev'"
+_BARE = "'content-length': '0', 'cache-control': 'max-age=120', 'connection': 'close, X-Hop', 'x-hop': '1'"
+_SECOND = "CASE WHEN page_id % 3 <> 0 THEN '\"2' || tag END"
+_DATED = "CASE WHEN page_id % 3 = 0 THEN 'day ' || page_id END"
+_EVENTS = (
+    ("page_id % 4 = 0", 7, 304, f"{_BARE}, 'etag': tag", -1),
+    ("true", 0, 200, f"{_FULL}, 'etag': tag, 'last-modified': 'day ' || page_id", 0),
+    ("true", 1, 304, f"{_BARE}, 'etag': 'W/' || tag, 'link': '</b>; rel=next'", 2),
+    ("true", 2, 200, f"{_FULL}, 'etag': {_SECOND}, 'last-modified': {_DATED}", 4),
+    ("true", 3, 304, f"{_BARE}, 'etag': CASE page_id % 3 WHEN 1 THEN {_SECOND} WHEN 2 THEN '\"other\"' END, 'last-modified': {_DATED}", 6),
+)
 WARC_SQL = rf"""
 WITH a AS (SELECT page_id, coalesce(html, '') AS html, {_canonical_sql("url")} AS u FROM pages
 ), p AS (
-  SELECT page_id, md5(html) AS tag, CAST(strlen(html) AS VARCHAR) AS size,
+  SELECT page_id, '"' || md5(html) || '"' AS tag, CAST(strlen(html) AS VARCHAR) AS size,
     coalesce(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), '^www[0-9]*[.]', '') || regexp_extract(u, '^[^/?]*(.*)$', 1), '') AS url_key FROM a
-), m AS (SELECT r.page_id, r.tag, r.url_key, f.page_id AS other, f.tag AS other_tag, f.size,
-    row_number() OVER (PARTITION BY r.page_id ORDER BY f.page_id DESC) AS rank
-  FROM p r LEFT JOIN p f ON f.url_key = r.url_key AND r.url_key <> '' AND f.page_id <= r.page_id + 1000000000)
-SELECT page_id, url_key, CASE WHEN other IS NULL THEN 'none' WHEN tag = other_tag THEN 'etag' ELSE 'mismatch' END AS resolution, other AS matched_page,
-  CASE WHEN tag = other_tag THEN 'cache-control: max-age=120' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
-    || 'date: ' || CAST(page_id + 1000000000 AS VARCHAR) || chr(10) || 'etag: W/"' || tag || '"' END AS headers
-FROM m WHERE rank = 1
+), c AS (
+  {" UNION ALL ".join(f"SELECT 8 * page_id + {n} AS id, url_key, 8 * page_id + ({at}) AS ts, {status} AS status, MAP {{{headers}, 'date': CAST(8 * page_id + ({at}) AS VARCHAR)}} AS headers FROM p WHERE {there}" for there, n, status, headers, at in _EVENTS)}
+), h AS (SELECT * REPLACE (map_from_entries(list_filter(map_entries(headers), lambda e: e.value IS NOT NULL)) AS headers) FROM c
+), m AS (
+  SELECT r.id, r.url_key, f.id AS other, r.headers AS mine, f.headers AS theirs
+  FROM (SELECT * FROM h WHERE status = 304) r ASOF LEFT JOIN (SELECT * FROM h WHERE status = 200 AND url_key <> '') f ON r.url_key = f.url_key AND r.ts >= f.ts
+), v AS (
+  SELECT *, CASE WHEN other IS NULL THEN 'none' WHEN regexp_replace(mine['etag'], '^W/', '') = regexp_replace(theirs['etag'], '^W/', '') THEN 'etag'
+    WHEN (mine['etag'] IS NULL OR theirs['etag'] IS NULL) AND mine['last-modified'] = theirs['last-modified'] THEN 'last-modified' ELSE 'mismatch' END AS resolution
+  FROM m
+)
+SELECT id // 8 AS page_id, CAST(id % 8 AS INT) AS capture, url_key, resolution, other // 8 AS matched_page, CAST(other % 8 AS INT) AS matched_capture,
+  CASE WHEN resolution IN ('etag', 'last-modified') THEN array_to_string(list_sort(list_transform(map_entries(map_concat(theirs,
+    map_from_entries(list_filter(map_entries(mine), lambda e: e.key NOT IN ({", ".join(f"'{x}'" for x in (*EXCLUDED, 'x-hop'))}))))), lambda e: e.key || ': ' || e.value)), chr(10)) END AS headers
+FROM v
 """
 
 QUERIES = {"op2_warc": op2_warc}
