@@ -1,9 +1,12 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 Vectors compare only within a group (label and dimension). In a pass every vector gets BITS random hyperplane signs,
-concatenated; the vectors are ordered by group and signs, and each is compared with the next WINDOW ones. A pass is one
-range exchange of the vectors over that order (ties are split by id). Verified pairs of all passes are united; a pass
-hands on no more than one link for each vector, a spanning forest of what its windows found.
+concatenated; the vectors are ordered by group and signs, and each is compared with the next WINDOW ones at least. A pass
+is one range exchange over that order (ties are split by id). What travels is a sketch, a byte for each component and the
+norm of what rounding took away: it bounds a cosine from both sides, by some 0.01. Pairs surely within the threshold are
+united, and a pass hands on no more than one such link for each vector, a spanning forest of what its windows found. Pairs
+that the sketch leaves open, and that the sure links of all passes have not joined anyway, are verified on the whole
+vectors in double precision.
 
 Number of passes: a pair at the threshold agrees on one sign with probability p = 1 - acos(threshold) / pi. Each pass
 measures how many leading signs b narrow the vectors around a vector down to its window, so it finds a pair of that vector
@@ -41,19 +44,21 @@ from corpusloom.llm.components import _local_stars, components
 
 THRESHOLD = 0.93
 BITS = 60
-WINDOW = 64
+WINDOW = 256
 MISS = 1e-5
 #: Passes that share an exchange, at most.
 PASSES_AT_ONCE = 6
 BLOCK = 512
 #: Rows of a block in which unsettled vectors are compared; the cost of a pair in a window, in pairs of a block.
 FINISH_BLOCK = 1024
-WINDOW_COST = 8
+WINDOW_COST = 4
 #: The logarithm of the chance to miss a pair whose whole group lies in the window.
 SURE = -1000.0
 SEED = 3
 #: Angles nearer than this to a bound are left to exact comparison.
 SLACK = 1e-6
+#: What single precision may add to a cosine of two sketches.
+ROUNDING = 1e-5
 
 
 def passes_for(largest: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
@@ -62,13 +67,33 @@ def passes_for(largest: int, threshold: float = THRESHOLD, window: int = WINDOW,
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
-    """Vectors as rows of unit length, in double precision."""
-    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, dim) if len(column) else np.zeros((0, dim))
+    """Vectors as rows of unit length, in double precision; the bytes are those of floats or doubles."""
+    data = column.to_pylist()
+    kind = np.float32 if len(data) and len(data[0]) == 4 * dim else np.float64
+    x = np.frombuffer(b"".join(data), dtype=kind).reshape(-1, dim).astype(np.float64) if len(data) else np.zeros((0, dim))
+    x /= np.abs(x).max(axis=1, keepdims=True)  # squares of extreme components neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _sketches(x: np.ndarray) -> list[bytes]:
+    """Of unit vectors: a signed byte for each component, then its unit and the norm of the rest as two floats."""
+    unit = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+    whole = np.rint(x / unit[:, None]).astype(np.int8)
+    rest = np.linalg.norm(x - whole * unit[:, None].astype(np.float64), axis=1)
+    tail = np.stack([unit, np.nextafter(rest.astype(np.float32), np.float32(np.inf))], 1).astype("<f4").view(np.int8)
+    data = np.concatenate([whole, tail], axis=1)
+    return [row.tobytes() for row in data]
+
+
+def _from_sketches(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rounded vectors in single precision, and the norms of what rounding took away."""
+    data = np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(-1, dim + 8)
+    tail = np.ascontiguousarray(data[:, dim:]).view("<f4")
+    return data[:, :dim].astype(np.float32) * tail[:, :1], tail[:, 1]
+
+
 def _packed(vectors: DataFrame) -> DataFrame:
-    """vectors: id, grp, dim, embedding (array<double>). The embedding as bytes."""
+    """vectors: id, grp, dim, embedding (array of float or double). The embedding as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,11 +113,12 @@ def _projected(vectors: DataFrame, passes: list[int], bits: int, seed: int) -> D
             for dim in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == dim))
                 x = _rows(part.column(3), dim)
+                sketch = pa.array(_sketches(x), pa.binary())
                 for k in passes:
                     if (k, dim) not in planes:
                         planes[k, dim] = np.random.default_rng([seed, k, dim]).standard_normal((dim, bits))
-                    key = (x @ planes[k, dim] > 0).astype(np.int64) @ power
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), part.column(1), pa.array(key), part.column(0), part.column(2), part.column(3)], names=["pass", "grp", "key", "id", "dim", "vec"])
+                    key = (x @ planes[k, dim] > 0) @ power
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), part.column(1), pa.array(key), part.column(0), part.column(2), sketch], names=["pass", "grp", "key", "id", "dim", "vec"])
 
     return vectors.mapInArrow(run, "pass int, grp long, key long, id long, dim int, vec binary")
 
@@ -117,43 +143,52 @@ def log_miss(run_of: np.ndarray, key: np.ndarray, threshold: float, window: int)
     return np.where(found == 1.0, SURE, np.log1p(-np.minimum(found, 0.999999)))
 
 
+def _root_of(stars: pa.RecordBatch, ids: np.ndarray) -> np.ndarray:
+    """Of each id the one its star hangs on, or itself."""
+    node, root = stars.column(0).to_numpy(), stars.column(1).to_numpy()
+    if not len(node):
+        return ids
+    at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
+    return np.where(node[at] == ids, root[at], ids)
+
+
 def _windows(threshold: float, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order; the last `window` ones are kept for the next batch. Links, then what log_miss says."""
+        """Rows come in order; the last `window` ones are kept for the next batch. Links that are sure and pairs that are open, then what log_miss says."""
         table, seen = None, []
         for b in batches:
             seen.append([b.column(k).to_numpy() for k in range(4)])
             table = pa.Table.from_batches([b]) if table is None else pa.concat_tables([table.slice(max(0, table.num_rows - window)), pa.Table.from_batches([b])])
             part, group, ids, dims = (table.column(c).to_numpy() for c in ("pass", "grp", "id", "dim"))
             run_of = np.cumsum(np.concatenate([[0], (part[1:] != part[:-1]) | (group[1:] != group[:-1])])) if len(ids) else np.zeros(0)
-            a, c = [], []
+            sure, open_ones = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                x = _rows(table.column("vec").take(pa.array(at)), dim)
-                of = run_of[at]
-                root = np.arange(len(at))
-                for step in range(1, min(window, len(at) - 1) + 1):
-                    same = np.flatnonzero(of[step:] == of[:-step])
-                    if not len(same):
-                        break
-                    near = same[np.einsum("ij,ij->i", x[same], x[same + step]) >= threshold]
-                    for i in near.tolist():  # few: only verified pairs
-                        u, v = i, i + step
-                        while root[u] != u:
-                            root[u] = root[root[u]]
-                            u = root[u]
-                        while root[v] != v:
-                            root[v] = root[root[v]]
-                            v = root[v]
-                        if u != v:
-                            root[v] = u
-                            a.append(ids[at[i]])
-                            c.append(ids[at[i + step]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.float64())], names=["a", "b", "grp", "log_miss"])
+                x, rest = _from_sketches(table.column("vec").take(pa.array(at)), dim)
+                of, own = run_of[at], ids[at]
+                for low in range(0, len(at), window):
+                    # A block meets itself and the next one, so each row the next `window` ones at least.
+                    mid, high = min(low + window, len(at)), min(low + 2 * window, len(at))
+                    cosine = x[low:mid] @ x[low:high].T
+                    error = rest[low:mid, None] + rest[None, low:high] + rest[low:mid, None] * rest[None, low:high] + ROUNDING
+                    i, j = np.nonzero(cosine + error >= threshold)
+                    later = (j > i) & (of[low + i] == of[low + j])
+                    i, j = i[later], j[later]
+                    certain = cosine[i, j] - error[i, j] >= threshold
+                    pairs = np.stack([own[low + i], own[low + j]])
+                    sure.append(pairs[:, certain])
+                    open_ones.append(pairs[:, ~certain])
+            a, c = np.concatenate(sure, axis=1)
+            stars = next(_local_stars([pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])]))
+            a, c = np.concatenate(open_ones, axis=1)
+            apart = _root_of(stars, a) != _root_of(stars, c)  # the others are settled by sure links of the batch
+            a, c = np.minimum(a, c)[apart], np.maximum(a, c)[apart]
+            n, m = stars.num_rows, len(a)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([stars.column(0), pa.array(a, pa.int64())]), pa.concat_arrays([stars.column(1), pa.array(c, pa.int64())]), pa.nulls(n + m, pa.int64()), pa.nulls(n + m, pa.float64()), pa.array([True] * n + [False] * m, pa.bool_())], names=["a", "b", "grp", "log_miss", "sure"])
         if seen:
             part, group, key, ids = (np.concatenate(x) for x in zip(*seen, strict=True))
             run_of = np.cumsum(np.concatenate([[0], (part[1:] != part[:-1]) | (group[1:] != group[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(group), pa.array(log_miss(run_of, key, threshold, window))], names=["a", "b", "grp", "log_miss"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(group), pa.array(log_miss(run_of, key, threshold, window)), pa.nulls(len(ids), pa.bool_())], names=["a", "b", "grp", "log_miss", "sure"])
 
     return run
 
@@ -192,13 +227,14 @@ def all_links(packed: DataFrame, threshold: float, window: int, miss: float, see
     """packed: id, grp, dim, vec. a, b: links whose components are those of all pairs within the threshold."""
     sizes = materialize(packed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     at_once = min(PASSES_AT_ONCE, passes_for(sizes.agg(F.max("n")).first()[0] or 0, threshold, window, miss))
-    links, chances, todo, turn = [], None, packed, 0
+    links, opened, chances, todo, turn = [], [], None, packed, 0
     while True:
         passes = list(range(turn * at_once, (turn + 1) * at_once))
         turn += 1
         ordered = _projected(todo, passes, BITS, seed).repartitionByRange("pass", "grp", "key", "id").sortWithinPartitions("pass", "grp", "key", "id")
-        found = materialize(ordered.mapInArrow(_windows(threshold, window), "a long, b long, grp long, log_miss double"), f"passes{turn}")
-        links.append(found.where("b IS NOT NULL").select("a", "b").distinct())
+        found = materialize(ordered.mapInArrow(_windows(threshold, window), "a long, b long, grp long, log_miss double, sure boolean"), f"passes{turn}")
+        links.append(found.where("sure").select("a", "b").distinct())
+        opened.append(found.where("NOT sure").select("a", "b"))
         new = found.where("b IS NULL").groupBy(F.col("a").alias("u_id"), F.col("grp").alias("u_grp")).agg(F.sum("log_miss").alias("log_miss"), F.count(F.lit(1)).alias("n_rows"))
         both = new if chances is None else chances.unionByName(new).groupBy("u_id", "u_grp").agg(F.sum("log_miss").alias("log_miss"), F.sum("n_rows").alias("n_rows"))
         chances = materialize(both, f"chances{turn}")
@@ -217,10 +253,38 @@ def all_links(packed: DataFrame, threshold: float, window: int, miss: float, see
             break
         todo = materialize(todo.join(more, F.col("grp") == F.col("m_grp"), "left_semi"), f"todo{turn}")
         chances = materialize(chances.join(more, F.col("u_grp") == F.col("m_grp"), "left_semi"), f"chances{turn}")
-    out = links[0]
+    out, left = links[0], opened[0]
     for more in links[1:]:
         out = out.unionByName(more)
-    return out
+    for more in opened[1:]:
+        left = left.unionByName(more)
+    return out.unionByName(verified(materialize(left.distinct(), "open-pairs"), out, packed, threshold))
+
+
+def _verify(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """a, b, dim, vec, other: the pairs within the threshold."""
+        for batch in batches:
+            for dim in np.unique(batch.column(2).to_numpy()).tolist():
+                part = batch.filter(pa.array(batch.column(2).to_numpy() == dim))
+                near = np.einsum("ij,ij->i", _rows(part.column(3), dim), _rows(part.column(4), dim)) >= threshold
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def verified(pairs: DataFrame, links: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """Of the open pairs those within the threshold, but for the ones whose ends the links join already."""
+    if pairs.isEmpty():
+        return pairs
+    found = materialize(components(links), "sure-classes")
+    of = lambda end: found.select(F.col("node").alias(f"{end}_node"), F.col("component").alias(f"{end}_of"))
+    placed = pairs.join(of("a"), F.col("a") == F.col("a_node"), "left").join(of("b"), F.col("b") == F.col("b_node"), "left")
+    apart = placed.where(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
+    one = packed.select(F.col("id").alias("one_id"), "grp", "dim", "vec")
+    two = packed.select(F.col("id").alias("two_id"), F.col("grp").alias("two_grp"), F.col("vec").alias("other"))
+    both = apart.join(one, F.col("a") == F.col("one_id")).join(two, (F.col("b") == F.col("two_id")) & (F.col("grp") == F.col("two_grp")))
+    return both.select("a", "b", "dim", "vec", "other").mapInArrow(_verify(threshold), "a long, b long")
 
 
 def _degrees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
@@ -273,12 +337,14 @@ def _centre(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        angle = []
-        for v, c in zip(b.column(4), b.column(5), strict=True):
-            x, y = np.frombuffer(v.as_py(), np.float64), np.frombuffer(c.as_py(), np.float64)
-            size = np.linalg.norm(x) * np.linalg.norm(y)
-            angle.append(math.acos(max(-1.0, min(1.0, float(x @ y) / size))) if size > 0 else math.pi)
-        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(5)], pa.array(angle)], names=["id", "cls", "dim", "copies", "vec", "angle"])
+        dims = b.column(2).to_numpy()
+        for dim in np.unique(dims).tolist():
+            part = b.filter(pa.array(dims == dim))
+            centre = np.frombuffer(b"".join(part.column(5).to_pylist()), np.float64).reshape(-1, dim)
+            size = np.linalg.norm(centre, axis=1)
+            cosine = np.einsum("ij,ij->i", _rows(part.column(4), dim), centre) / np.where(size > 0, size, 1.0)
+            angle = np.where(size > 0, np.arccos(np.clip(cosine, -1.0, 1.0)), math.pi)
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(5)], pa.array(angle)], names=["id", "cls", "dim", "copies", "vec", "angle"])
 
 
 def link_counts(own: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -312,13 +378,14 @@ def link_counts(own: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
 def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, n_links (others linked directly), component_id, kept (the id is the component's)."""
     vector = F.col(vector_col)
+    single = table.schema[vector_col].dataType.elementType.simpleString() == "float"
     finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     sound = F.coalesce((F.size(vector) > 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
     digest = F.when(sound, F.md5(F.array_join(vector, ",").cast("binary")))
     rows = materialize(table.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.xxhash64(label_col, F.size(vector))).alias("grp"), digest.alias("digest")), "vectors")
     equal = rows.where(F.col("grp").isNotNull()).groupBy(F.col("grp").alias("g"), F.col("digest").alias("d")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     equal = materialize(equal, "equal-vectors")
-    valid = table.where(sound).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(label_col, F.size(vector)).alias("grp"), F.size(vector).alias("dim"), vector.cast("array<double>").alias("embedding"), digest.alias("digest"))
+    valid = table.where(sound).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(label_col, F.size(vector)).alias("grp"), F.size(vector).alias("dim"), vector.cast("array<float>" if single else "array<double>").alias("embedding"), digest.alias("digest"))
     # Without copies every vector stands for itself and the table needs no exchange.
     if equal.where("copies > 1").isEmpty():
         reps = valid
