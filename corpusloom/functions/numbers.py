@@ -1,14 +1,16 @@
 """Numbers in texts: decimals, fractions, Roman numerals, leading zeros, budgets.
 
-Replacements that depend on the match are chains of plain replacements, one for each value, so they stay in the JVM.
+Replacements that depend on the match look it up in a table, one pass over a text for all values of the table.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import _col, bind
+from corpusloom.functions.text import _col, bind, look_up, replace_each
 
 # Fractions and their characters.
 FRACTIONS = {
@@ -18,14 +20,10 @@ FRACTIONS = {
 TENTH = {(1, 10): "⅒"}
 # Decimals near these values, to a thousandth, become the character; thirds are found by one decimal place.
 DECIMALS = (("¼", 0.25), ("½", 0.5), ("⅙", 1 / 6), ("¾", 0.75), ("⅚", 5 / 6))
-# Twelfths of a shekel in grains, tried in this order.
-SHEKELS = (
-    (r"5\s+11\s*/\s*12\s*shekels?\b", "6 shekels less 15 grains"),
-    (r"1\s*/\s*12\s*shekels?\b", "15 grains"),
-    (r"7\s*/\s*12\s*shekels?\b", "½ shekel 15 grains"),
-    (r"5\s*/\s*12\s*shekels?\b", "⅓ shekel 15 grains"),
-    (r"1\s*/\s*12(?!\s*shekels?\b)", "15 grains"),
-)
+# Wordings of twelfths of a shekel in grains: whole shekels before, twelfths, wording.
+SHEKELS = ((5, 11, "6 shekels less 15 grains"), (None, 1, "15 grains"), (None, 7, "½ shekel 15 grains"), (None, 5, "⅓ shekel 15 grains"))
+#: White space of any script.
+_SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def _roman(n: int) -> str:
@@ -40,10 +38,9 @@ def decimal_fractions(c: str | Column) -> Column:
     """Decimals as whole number and fraction character where one fits, else as they stand.
 
     With f the fractional part: a third for 0.25 < f <= 0.35, two thirds for 0.55 <= f < 0.65, as one decimal place says;
-    0.25 itself is nearer a quarter. The rest within a thousandth of a value. A text is cut at its decimals, each is
-    replaced, and the parts are put together again.
+    0.25 itself is nearer a quarter. The rest within a thousandth of a value.
     """
-    number = r"(?U)\b[0-9]+\.[0-9]+\b"
+    number = r"(?=[0-9])(?U:\b)[0-9]+\.[0-9]+(?U:\b)"
 
     def value(x: Column, token: Column) -> Column:
         whole, part = F.floor(x), x - F.floor(x)
@@ -56,57 +53,73 @@ def decimal_fractions(c: str | Column) -> Column:
     def glyph(token: Column) -> Column:
         return bind(token.cast("double"), lambda x: value(x, token))
 
-    def whole_text(t: Column) -> Column:
-        tokens = F.transform(F.regexp_extract_all(t, F.lit(number), F.lit(0)), glyph)
-        parts = F.split(t, number, -1)
-        rest = lambda p: F.zip_with(tokens, F.slice(p, 2, 1 << 30), lambda token, part: F.concat(token, part))
-        return F.when(t.rlike(number), bind(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(rest(p), "")))).otherwise(t)
-
-    return bind(_col(c), whole_text)
+    return replace_each(c, number, glyph, gate=".")
 
 
-def _where(c: str | Column, gate: str, pairs: list[tuple[str, str]]) -> Column:
-    """Replacements one after another, in the texts that can match any of them."""
+def roman_numerals(c: str | Column, most: int = 12) -> Column:
+    """II to `most` as numbers, with or without "th"; I stays."""
+    table = {_roman(n): str(n) for n in range(2, most + 1)}
+    # The look-ahead comes first: word boundaries of any script cost more and are then rarely tried.
+    return replace_each(c, r"(?=[IVX])(?U:\b)[IVX]+(?:th)?(?U:\b)", lambda sign: F.coalesce(look_up(table, F.regexp_replace(sign, "th$", "")), sign))
 
-    def chain(t: Column) -> Column:
-        out = t
-        for pattern, to in pairs:
-            out = F.regexp_replace(out, pattern, to)
-        return F.when(t.rlike(gate), out).otherwise(t)
 
-    return bind(_col(c), chain)
+def _fraction(table: dict, signs: str, space: str, zeros: bool = True) -> str:
+    """A pattern for the table's fractions, by numerators; signs: what may stand between the numbers."""
+    below: dict[int, list[int]] = defaultdict(list)
+    for a, b in sorted(table):
+        below[a].append(b)
+    zero = "0*" if zeros else ""
+    return "(?:" + "|".join(f"{a}{space}[{signs}]{space}{zero}(?:{'|'.join(map(str, b))})" for a, b in below.items()) + ")(?![0-9])"
 
 
-def roman_numerals(c: str | Column, most: int = 12) -> Column:
-    """II to `most` as numbers, with or without "th"; I stays."""
-    order = sorted(range(2, most + 1), key=lambda n: -len(_roman(n)))
-    return _where(c, "[VX]|II", [(rf"(?U)\b{_roman(n)}(?:th)?\b", str(n)) for n in order])
+def _sign(match: Column, table: dict) -> Column:
+    """The character of the fraction at the match's end; a numerator of one digit counts, whatever digits stand before."""
+    parts = F.split(F.regexp_extract(match, r"([0-9]\P{Nd}+[0-9]+)$", 1), r"\P{Nd}+0*")
+    return look_up({f"{a}/{b}": sign for (a, b), sign in table.items()}, F.concat_ws("/", parts))
 
 
 def spaced_fractions(c: str | Column) -> Column:
     """a / b with spaces on both sides as a character, but not after "month "."""
-    # The look-ahead comes first: the look-behinds cost more and are then rarely tried.
-    after_month = r"(?<!(?i:month)\s{1,20})(?<!(?i:month)\s{1,20}0{1,9})"
-    return _where(c, r"(?U)[0-9]\s+/\s+[0-9]", [(rf"(?U)(?=0*{a}\s+/)(?<![0-9]){after_month}0*{a}\s+/\s+0*{b}(?![0-9])", sign) for (a, b), sign in FRACTIONS.items()])
+    gap = rf"{_SPACE}+"
+    ahead = rf"(?=[0-9]+{gap}/)"
+    month = rf"(?<!(?i:month){_SPACE}{{1,20}})"
+    return replace_each(c, rf"{ahead}(?<![0-9]){month}0*{_fraction(FRACTIONS, '/', gap)}", lambda m: _sign(m, FRACTIONS), gate="/")
 
 
 def compact_fractions(c: str | Column, mixed_space: str = " ", signs: str = "/", table: dict | None = None) -> Column:
     """a/b as a character, spaces or not; after a whole number mixed_space comes between."""
     table = table or FRACTIONS
-    mixed = [(rf"(?<![0-9])([0-9]+)\s+0*{a}\s*[{signs}]\s*0*{b}(?![0-9])", f"$1{mixed_space}{sign}") for (a, b), sign in table.items()]
-    simple = [(rf"(?<![0-9])0*{a}\s*[{signs}]\s*0*{b}(?![0-9])", sign) for (a, b), sign in table.items()]
-    return _where(c, rf"[0-9]\s*[{signs}]\s*[0-9]", mixed + simple)
+    simple = rf"0*{_fraction(table, signs, chr(92) + 's*')}"
+    gate = signs if len(signs) == 1 else None
+    mixed = replace_each(c, rf"(?=[0-9])(?<![0-9])[0-9]+\s+{simple}", lambda m: F.concat(_whole(m, r"\s"), F.lit(mixed_space), _sign(m, table)), gate)
+    return replace_each(mixed, rf"(?=[0-9])(?<![0-9]){simple}", lambda m: _sign(m, table), gate)
+
+
+def _whole(match: Column, end: str) -> Column:
+    """The match's first number, up to what the pattern says."""
+    return F.regexp_extract(match, f"^([0-9]+){end}", 1)
 
 
 def glued_fractions(c: str | Column) -> Column:
     """Mixed, then glued mixed (11/2 is 1 1/2), then simple fractions."""
-    mixed = [(rf"(?<![0-9/])([0-9]+)\s+0*{a}\s*/\s*{b}(?![0-9])", f"$1 {sign}") for (a, b), sign in FRACTIONS.items()]
-    glued = [(rf"(?<![0-9/])([0-9]+){a}\s*/\s*{b}(?![0-9])", f"$1 {sign}") for (a, b), sign in FRACTIONS.items()]
-    return compact_fractions(_where(c, r"[0-9]\s*/\s*[0-9]", mixed + glued))
+    fraction = _fraction(FRACTIONS, "/", r"\s*", zeros=False)
+    mixed = replace_each(c, rf"(?=[0-9])(?<![0-9/])[0-9]+\s+0*{fraction}", lambda m: F.concat(_whole(m, r"\s"), F.lit(" "), _sign(m, FRACTIONS)), "/")
+    glued = replace_each(mixed, rf"(?=[0-9])(?<![0-9/])[0-9]+{fraction}", lambda m: F.concat(_whole(m, r"[0-9]\s*/"), F.lit(" "), _sign(m, FRACTIONS)), "/")
+    return compact_fractions(glued)
 
 
 def shekel_fractions(c: str | Column) -> Column:
-    return _where(c, r"/\s*12", list(SHEKELS))
+    """Twelfths of a shekel in grains; a lone twelfth too."""
+    unit, twelfth = rf"{_SPACE}*shekels?(?U:\b)", rf"{_SPACE}*/{_SPACE}*12"
+
+    def chain(t: Column) -> Column:
+        out = t
+        for whole, n, wording in SHEKELS:
+            before = f"{whole}{_SPACE}+" if whole else ""
+            out = F.regexp_replace(out, f"{before}{n}{twelfth}{unit}", wording)
+        return F.when(F.contains(t, F.lit("/")) & t.rlike(twelfth), F.regexp_replace(out, f"1{twelfth}(?!{unit})", SHEKELS[1][2])).otherwise(t)
+
+    return bind(_col(c), chain)
 
 
 def leading_zeros(c: str | Column) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"(?U)\s+"
+#: What makes a word: letters and numbers of any script (fractions and raised digits too) and the low line; a word's edges.
+WORD = r"[\p{L}\p{N}_]"
+START, END = rf"(?<!{WORD})", rf"(?!{WORD})"
 
 
 def _col(c: str | Column) -> Column:
@@ -36,6 +39,27 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def replace_each(c: str | Column, pattern: str, change, gate: str | None = None) -> Column:
+    """The text with change(match) for each match; null stays null. gate: a literal that every match contains.
+
+    A text is cut at its matches, each is changed, and the parts are put together again: one pass, whatever the number of
+    different replacements.
+    """
+
+    def whole_text(t: Column) -> Column:
+        may = t.rlike(pattern) if gate is None else F.contains(t, F.lit(gate)) & t.rlike(pattern)
+        changed = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), change)
+        rest = lambda p: F.zip_with(changed, F.slice(p, 2, 1 << 30), lambda token, part: F.concat(token, part))
+        return F.when(may, bind(F.split(t, pattern, -1), lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(rest(p), "")))).otherwise(t)
+
+    return bind(_col(c), whole_text)
+
+
+def look_up(table: dict[str, str], key: Column) -> Column:
+    """The table's value for the key, else null."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
 def drop_repeated_words(c: str | Column) -> Column:
     """Words without those equal to the word before; a blank text stays as it is."""
 
