@@ -199,7 +199,7 @@ def drop_line_markers(c: str | Column) -> Column:
 
 
 def drop_translation_notes(c: str | Column) -> Column:
-    return _tidy(F.regexp_replace(_col(c), note_pattern(TRANSLATION_NOTES, _sides() + [rf"\(?\s*{counted(*n)}\s*\)?" for n in COUNTED_NOTES]), " "))
+    return _tidy(F.regexp_replace(_col(c), note_pattern(TRANSLATION_NOTES, _sides() + [rf"\(?\s*{counted(*n)}\.?\s*\)?" for n in COUNTED_NOTES]), " "))
 
 
 def drop_transliteration_notes(c: str | Column, document: bool = True) -> Column:
