@@ -39,6 +39,48 @@ def excavation_number(c: str | Column) -> Column:
     return F.when(part(3) == "", "").when((more(6) != "") & agrees, F.concat(single, F.lit("+"), more(6))).otherwise(single)
 
 
+#: A heading's number, with the letter it may have.
+_HEADING = r"^(?:No\.?\s*)?([0-9]+\s*[A-Za-z]?)\.?$"
+_NUMBERED = r"^([0-9]+)\s*[.)]\s*(.+)$"
+
+
+def numbered_heading(c: str | Column) -> Column:
+    """ "12 a" from a heading that is a number; "" else."""
+    return F.lower(normalize_ws(F.regexp_extract(normalize_ws(c), _HEADING, 1)))
+
+
+def labelled_heading(c: str | Column) -> Column:
+    """ "5. NBC 3787" from a number with a label, spaces around commas put right and letters joined to their numbers; else the text."""
+    flat = normalize_ws(c)
+    label = F.regexp_replace(F.regexp_replace(F.regexp_extract(flat, _NUMBERED, 2), r"\s*,\s*", ", "), r"\b([A-Za-z])\s+(?=[0-9])", "$1")
+    number = F.regexp_replace(F.regexp_extract(flat, _NUMBERED, 1), "^0+(?=[0-9])", "")
+    return F.when(flat.rlike(_NUMBERED), F.concat(number, F.lit(". "), normalize_ws(label))).otherwise(flat)
+
+
+def museum_heading(c: str | Column) -> Column:
+    """ "I 427" from a heading that begins with the sign I and a number, in brackets or not; "" else."""
+    flat = normalize_ws(c)
+    number = F.regexp_extract(flat, r"^\(?\s*[Ii]\s*([0-9]+[a-z]?)\s*\)?", 1)
+    return F.when(number != "", F.concat(F.lit("I "), number)).when(F.upper(flat).startswith("I "), flat).otherwise("")
+
+
+def canonical_for_volume(volume: str | Column, c: str | Column) -> Column:
+    """The form in which a volume names its texts; an excavation number where its own form does not fit."""
+    key = F.upper(normalize_ws(volume))
+    own = F.when(key == "AKT 1", numbered_heading(c)).when(key.startswith("LARSEN"), labelled_heading(c)).when(key.rlike(r"\bICK 4\b"), museum_heading(c))
+    return F.coalesce(F.nullif(own, F.lit("")), excavation_number(c))
+
+
+def with_overrides(value: str | Column, cols: list[str], overrides: dict[str, str]) -> Column:
+    """The target of the first override whose text stands in one of the columns, whatever its case, else the value."""
+    searched = F.lower(F.concat_ws(" | ", *[normalize_ws(x) for x in cols]))
+    out = None
+    for text, target in overrides.items():
+        hit = F.contains(searched, F.lit(text.lower()))
+        out = F.when(hit, target) if out is None else out.when(hit, target)
+    return normalize_ws(value) if out is None else out.otherwise(normalize_ws(value))
+
+
 def first_match(pattern: str, *cols: str) -> Column:
     """The first match of a pattern over columns."""
     return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(F.col(c), F.lit("")), pattern, 0), F.lit("")) for c in cols])

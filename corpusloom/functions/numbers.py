@@ -150,6 +150,18 @@ def span_lengths(tokens: int, density: float = 0.15, span: float = 3.0) -> tuple
     return n, lengths(n)[1]
 
 
+def span_masks(df, length: str, seed: int = 0, density: float = 0.15, span: float = 3.0, name: str = "mask"):
+    """df with the mask of a row of that many tokens, as an array; the seed of a row is its own, from the columns' values."""
+    import pandas as pd
+
+    @F.pandas_udf("array<boolean>")
+    def masks(lengths: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([span_mask(int(n), int(s), density, span) for n, s in zip(lengths, seeds, strict=True)])
+
+    own = F.pmod(F.xxhash64(*sorted(df.columns), F.lit(seed)), F.lit(2**31))
+    return df.withColumn(name, masks(F.coalesce(F.col(length), F.lit(0)), own))
+
+
 def span_mask(length: int, seed: int, density: float = 0.15, span: float = 3.0) -> list[bool]:
     """Which of a row's tokens are noise: spans and gaps of random lengths in turn, beginning with a gap."""
     import numpy as np

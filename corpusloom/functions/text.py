@@ -204,6 +204,28 @@ def drop_line_numbers(c: str | Column) -> Column:
     return normalize_ws(F.regexp_replace(_col(c), r"(?<!\S)(?!0+\.)[0-9]{0,2}[05]\.(?=\s|$)", ""))
 
 
+def drop_section_signs(c: str | Column, signs: tuple[str, ...]) -> Column:
+    """Without signs of a tablet's sections that stand alone, with a point and the number of a line or without; line breaks stay."""
+    names = "|".join(signs)
+    out = F.regexp_replace(F.coalesce(_col(c), F.lit("")), rf"(?iU)(?<!\S)(?:{names})\.?(?:\s*[0-9]{{1,3}})?(?=\s|$)", "")
+    return strip(F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r"(?U)\s*\n\s*", "\n"))
+
+
+def from_markers(key: str | Column, c: str | Column, markers: dict[str, tuple[str, ...]]) -> Column:
+    """The text from the first of its record's markers on, in their order; records without markers, and texts without one, as they are."""
+    c = F.coalesce(_col(c), F.lit(""))
+    out = None
+    for record, own in markers.items():
+        cut = None
+        for m in own:
+            found = F.nullif(from_marker(c, m), c)
+            found = F.when(F.startswith(c, F.lit(m)), c).otherwise(found)
+            cut = found if cut is None else F.coalesce(cut, found)
+        hit = strip(F.coalesce(cut, c))
+        out = F.when(_col(key) == record, hit) if out is None else out.when(_col(key) == record, hit)
+    return c if out is None else out.otherwise(c)
+
+
 def final_answer(c: str | Column) -> Column:
     """What follows the first closing thought tag, without code fences."""
     c = F.coalesce(_col(c), F.lit(""))

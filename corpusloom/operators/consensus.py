@@ -13,9 +13,11 @@ from corpusloom.functions import metrics
 from corpusloom.functions.text import normalize_ws
 
 
-def _pick(score: Callable[[str, str], tuple[float, ...]], own: bool):
+def _pick(score: Callable[[str, str], tuple[float, ...]], own: bool, prefer: str | None = None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
+        if prefer and pdf[prefer].fillna(False).any():
+            pdf = pdf[pdf[prefer].fillna(False).astype(bool)].reset_index(drop=True)
         texts = [t or "" for t in pdf["text"]]
         ranks = []
         for i, text in enumerate(texts):
@@ -30,14 +32,15 @@ def _pick(score: Callable[[str, str], tuple[float, ...]], own: bool):
     return run
 
 
-def pick_by_peers(candidates: DataFrame, metric: str = "chrf", own: bool = False) -> DataFrame:
+def pick_by_peers(candidates: DataFrame, metric: str = "chrf", own: bool = False, prefer: str | None = None) -> DataFrame:
     """candidates: record, idx, text. For each record the candidate the others agree with most.
 
     metric: chrf, or geo for the geometric mean of chrF++ and BLEU. own: averages over all candidates, itself included, and
-    takes the first best one (n-best reranking). Records hold a handful of candidates.
+    takes the first best one (n-best reranking). prefer: a boolean column; where a record has candidates that are true there,
+    only these are considered. Records hold a handful of candidates.
     """
     score = {"chrf": lambda a, b: (metrics.chrf(a, b),), "geo": lambda a, b: (metrics.chrf(a, b), metrics.bleu(a, b))}[metric]
-    return candidates.select("record", "idx", "text").groupBy("record").applyInPandas(_pick(score, own), "record long, best_idx long, best_text string, best_score double")
+    return candidates.select("record", "idx", "text", *([prefer] if prefer else [])).groupBy("record").applyInPandas(_pick(score, own, prefer), "record long, best_idx long, best_text string, best_score double")
 
 
 def _scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

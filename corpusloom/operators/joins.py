@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
 from corpusloom.operators.dedup import first_wins
-from corpusloom.session import maybe_broadcast
+from corpusloom.session import materialize, maybe_broadcast
 
 
 def attach_unique(df: DataFrame, other: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -110,50 +111,91 @@ def collect_ranges(ranges: DataFrame, lines: DataFrame, on: Sequence[str], low:
     return grouped.withColumn(text, F.array_join(F.transform("__p", lambda x: x["__t"]), " ")).drop("__p")
 
 
-def token_distance(a: Sequence[str], b: Sequence[str], most: int | None = None) -> int:
-    """Edit distance of two token lists; beyond `most` any larger number may come back."""
-    if abs(len(a) - len(b)) > (most if most is not None else max(len(a), len(b))):
-        return max(len(a), len(b))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0], least = row[0], i, i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
-            least = min(least, row[j])
-        if most is not None and least > most:
-            return least
-    return row[-1]
+def token_masks(tokens: Sequence[str]) -> dict[str, int]:
+    """For each token the set of its places, as the bits of a number."""
+    masks: dict[str, int] = {}
+    for k, token in enumerate(tokens):
+        masks[token] = masks.get(token, 0) | 1 << k
+    return masks
 
 
-def most_similar(queries: DataFrame, pool: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """query_id, pool_id, distance: the k rows of the pool with the fewest token edits to each query, the same text left out.
+def token_distance(a: Sequence[str], b: Sequence[str], masks: dict[str, int] | None = None) -> int:
+    """Edit distance of two token lists, all of a row of the table at once as the bits of a number. masks: those of a."""
+    if not a:
+        return len(b)
+    masks = token_masks(a) if masks is None else masks
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    # Bits: whether the table grows or falls by one from a place of a to the next.
+    up, down, distance = full, 0, len(a)
+    for token in b:
+        same = masks.get(token, 0)
+        either = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up) & full, up & across
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | ~(either | more) & full, more & either
+    return distance
+
+
+def normalized_distance(a: Sequence[str], b: Sequence[str]) -> float:
+    """Edit distance by the longer list's length; 0 for two empty lists."""
+    return token_distance(a, b) / max(len(a), len(b), 1)
 
-    The query set is broadcast (a stated set, checked to be small); each task keeps its k best, so the exchange holds at
-    most k rows for each query and task.
-    """
-    rows = queries.select(id_col, text_col).limit(20_001).collect()
-    if len(rows) > 20_000:
-        raise ValueError("most_similar takes at most 20,000 queries at a time")
-    asked = [(r[id_col], (r[text_col] or "").split()) for r in rows]
 
+#: Queries that meet the pool at a time.
+QUERY_BLOCK = 5_000
+
+
+def _best_of(asked: list[tuple[int, list[str]]], k: int, id_col: str, text_col: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, list[tuple[int, int]]] = {n: [] for n in range(len(asked))}
+        best: list[list[tuple[int, int]]] = [[] for _ in asked]
+        masks = [token_masks(tokens) for _, tokens in asked]
+        counts = [Counter(tokens) for _, tokens in asked]
         for pdf in batches:
             for pool_id, text in zip(pdf[id_col], pdf[text_col], strict=True):
                 tokens = (text or "").split()
+                count = Counter(tokens)
                 for n, (_, query) in enumerate(asked):
+                    top = best[n]
+                    longer = max(len(tokens), len(query))
+                    if len(top) >= k:
+                        # No fewer edits than the longer list's tokens that the other one lacks.
+                        if abs(len(tokens) - len(query)) > top[-1][0]:
+                            continue
+                        small, large = (count, counts[n]) if len(count) < len(counts[n]) else (counts[n], count)
+                        if longer - sum(min(x, large[t]) for t, x in small.items() if t in large) > top[-1][0]:
+                            continue
                     if tokens == query:
                         continue
-                    top = best[n]
-                    limit = top[-1][0] if len(top) >= k else None
-                    d = token_distance(query, tokens, limit)
-                    if limit is None or (d, pool_id) < top[-1]:
-                        top.append((d, pool_id))
+                    found = (token_distance(query, tokens, masks[n]), pool_id)
+                    if len(top) < k or found < top[-1]:
+                        top.append(found)
                         top.sort()
                         del top[k:]
-        out = [(asked[n][0], pool_id, d) for n, top in best.items() for d, pool_id in top]
-        yield pd.DataFrame(out, columns=["query_id", "pool_id", "distance"])
+        yield pd.DataFrame([(asked[n][0], pool_id, d) for n, top in enumerate(best) for d, pool_id in top], columns=["query_id", "pool_id", "distance"])
+
+    return run
+
 
-    found = pool.select(id_col, text_col).mapInPandas(run, "query_id long, pool_id long, distance long")
+def most_similar(queries: DataFrame, pool: DataFrame, k: int, id_col: str = "id", text_col: str = "text", block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, pool_id, distance: the k rows of the pool with the fewest token edits to each query, the same text left out.
+
+    Queries come in blocks, as many as there are; a block is sent to all tasks, which keep its k best each, so an exchange holds
+    at most k rows for each query and task. The driver holds one block at a time.
+    """
+    found, asked = None, []
+
+    def meet() -> DataFrame:
+        new = materialize(pool.select(id_col, text_col).mapInPandas(_best_of(list(asked), k, id_col, text_col), "query_id long, pool_id long, distance long"), "similar")
+        return new if found is None else found.unionByName(new)
+
+    for row in queries.select(id_col, text_col).toLocalIterator():
+        asked.append((row[id_col], (row[text_col] or "").split()))
+        if len(asked) == block:
+            found = meet()
+            asked.clear()
+    if asked or found is None:
+        found = meet()
     ranked = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "pool_id"))), 1, k).alias("__b"))
     return ranked.select("query_id", F.explode("__b").alias("b")).select("query_id", "b.pool_id", "b.distance")

@@ -138,6 +138,32 @@ def seeded_sample(df: DataFrame, id_col: str, k: int, seed: int = 42) -> DataFra
     return df.withColumn("__o", seeded_order(id_col, seed)).orderBy("__o", id_col).limit(k).drop("__o")
 
 
+def samples_for(rows: DataFrame, row_id: str, pool: DataFrame, id_col: str, k: int, seed: int = 42) -> DataFrame:
+    """row_id, rank, and id_col of k rows of the pool for each row, drawn by the seed and the row's number.
+
+    Every row starts at its own place of the shuffled pool and takes the k rows from there, around its end: a draw without
+    replacement that joins by places and never pairs all rows with all of the pool.
+    """
+    shuffled = materialize(row_index(pool.select(id_col, seeded_order(id_col, seed).alias("__o")), ["__o", id_col], "__at").select(id_col, "__at"), "shuffled-pool")
+    n = shuffled.count()
+    if not n:
+        return rows.select(row_id).limit(0).withColumn("rank", F.lit(0)).join(pool.select(id_col).limit(0))
+    start = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(n))
+    wanted = rows.select(row_id, F.explode(F.sequence(F.lit(0), F.lit(min(k, n) - 1))).alias("rank"), start.alias("__s"))
+    return wanted.withColumn("__at", F.pmod(F.col("__s") + F.col("rank"), F.lit(n))).join(shuffled, "__at").select(row_id, "rank", id_col)
+
+
+def ordered_by(df: DataFrame, *keys: str, limit: int | None = None) -> DataFrame:
+    """Rows by several keys, ascending, nulls first; limit: only so many from the start."""
+    out = df.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    return out if limit is None else out.limit(limit)
+
+
+def longest_first(df: DataFrame, text: str, *ties: str) -> DataFrame:
+    """Rows by the length of a text in bytes, the longest first, so that batches hold texts of like length; null counts as empty."""
+    return df.orderBy(F.octet_length(F.coalesce(F.col(text), F.lit(""))).desc(), *ties)
+
+
 def leading_int(col: str | Column, default: int = 0) -> Column:
     """The number a text begins with."""
     return F.coalesce(F.regexp_extract(col, r"^([0-9]+)", 1).try_cast("long"), F.lit(default).cast("long"))

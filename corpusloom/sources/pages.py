@@ -26,6 +26,14 @@ def render_pages(pages: DataFrame, renderer: Callable[[bytes, int, int], bytes],
     return pages.select("path", "content", "page").mapInPandas(run, "path string, page int, image binary")
 
 
+def render_missing(pages: DataFrame, existing: DataFrame, renderer: Callable[[bytes, int, int], bytes], dpi: int = 200) -> DataFrame:
+    """path, page, image of all pages: images there are (path, page, image, of this resolution) stay, the others are rendered."""
+    known = existing.select("path", F.col("page").cast("int").alias("page"), "image")
+    todo = pages.join(known.select("path", "page"), ["path", "page"], "left_anti")
+    kept = known.join(pages.select("path", "page"), ["path", "page"], "left_semi")
+    return kept.unionByName(render_pages(todo, renderer, dpi))
+
+
 def _lines(y_tolerance: float, gap: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf[pdf["text"].fillna("").str.strip() != ""].copy()

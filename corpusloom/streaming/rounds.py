@@ -6,10 +6,12 @@ its own part of a round. What is done leaves by an anti join; counters are colum
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,46 @@ def predict(df: DataFrame, predictor: Predictor, text: str, id_col: str, turn: i
     return df.select(id_col, text).mapInPandas(run, schema)
 
 
+class Busy(Exception):
+    """A remote predictor is over its limit and may be asked again."""
+
+
+#: Seconds to wait before each further try of a busy predictor.
+WAITS = (16.0, 32.0)
+
+
+def sampled(df: DataFrame, predictor: Callable[[list[str], int, int], list[list[str]]], text: str, id_col: str, samples: int = 1, turn: int = 0, batch: int = 64, waits: tuple[float, ...] = WAITS, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """id_col, responses: `samples` answers of each row, an array in the order in which they came.
+
+    The predictor takes texts, the number of answers and the number of the round, and returns a list for each text. It may
+    work on many at once: answers are matched to rows by place. Busy waits and asks again, once for each of the waits, then
+    fails the task, which the engine repeats.
+    """
+
+    def ask(texts: list[str]) -> list[list[str]]:
+        for wait in (*waits, None):
+            try:
+                answers = predictor(texts, samples, turn)
+                break
+            except Busy:
+                if wait is None:
+                    raise
+                sleep(wait)
+        if len(answers) != len(texts) or any(len(a) != samples for a in answers):
+            raise ValueError(f"the predictor gave {[len(a) for a in answers]} answers for {len(texts)} texts, {samples} each were asked for")
+        return answers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                answers = ask([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(answers, pa.list_(pa.string()))], names=[id_col, "responses"])
+
+    schema = df.select(id_col).withColumn("responses", F.array(F.lit(""))).schema
+    return df.select(id_col, text).mapInArrow(run, schema)
+
+
 def until_accepted(df: DataFrame, predictor: Predictor, text: str, id_col: str, accept: Column, rounds: int, out: str = "answer") -> DataFrame:
     """id, answer, tries, accepted. Rows are asked again until `accept` (over text and answer) holds, at most `rounds` times.
 
