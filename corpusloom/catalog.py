@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import relational, texts
+from corpusloom.queries import more, relational, texts
 
-_TABLE = relational.TABLE | texts.TABLE
+_TABLE = relational.TABLE | texts.TABLE | more.TABLE
 QUERIES = {name: query for name, (query, _) in _TABLE.items()}
 ORACLES = {name: sql for name, (_, sql) in _TABLE.items() if sql}

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import _col, bind, look_up, replace_each
@@ -150,9 +151,8 @@ def span_lengths(tokens: int, density: float = 0.15, span: float = 3.0) -> tuple
     return n, lengths(n)[1]
 
 
-def span_masks(df, length: str, seed: int = 0, density: float = 0.15, span: float = 3.0, name: str = "mask"):
+def span_masks(df: DataFrame, length: str, seed: int = 0, density: float = 0.15, span: float = 3.0, name: str = "mask") -> DataFrame:
     """df with the mask of a row of that many tokens, as an array; the seed of a row is its own, from the columns' values."""
-    import pandas as pd
 
     @F.pandas_udf("array<boolean>")
     def masks(lengths: pd.Series, seeds: pd.Series) -> pd.Series:

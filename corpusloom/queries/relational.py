@@ -106,7 +106,7 @@ def defaulted_summary(s, sf):
 
 
 def missing_report(s, sf):
-    return joins.missing_targets(T(s, sf, "customer").select("c_custkey"), T(s, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return joins.missing_targets(T(s, sf, "customer").select("c_custkey"), T(s, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def priority_lookup(s, sf):
@@ -271,7 +271,7 @@ def pool_extend(s, sf):
 
 
 def set_minus(s, sf):
-    return unions.minus(T(s, sf, "customer").select(F.col("c_custkey").alias("k")), T(s, sf, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    return unions.minus(T(s, sf, "customer").select(F.col("c_custkey").alias("k")), T(s, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 def page_lists(s, sf):
@@ -295,6 +295,17 @@ def json_field(s, sf):
 
 
 _SHUFFLE = "md5(concat_ws(':', CAST({} AS VARCHAR), '42'))"
+#: Groups in the order of their hash, each to the fold with the fewest rows so far, the first of equals.
+GROUP_FOLDS_SQL = f"""
+WITH RECURSIVE g AS (SELECT conv_id, count(*) AS n, row_number() OVER (ORDER BY {_SHUFFLE.format('conv_id')}, CAST(conv_id AS VARCHAR)) AS at FROM conversations GROUP BY conv_id
+), f AS (
+  SELECT CAST(0 AS BIGINT) AS at, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS sizes, CAST(-1 AS BIGINT) AS fold, CAST(0 AS BIGINT) AS n
+  UNION ALL
+  SELECT g.at, list_transform(range(1, 6), lambda k: sizes[k] + CASE WHEN k = list_position(sizes, list_min(sizes)) THEN g.n ELSE 0 END), list_position(sizes, list_min(sizes)) - 1, g.n
+  FROM f JOIN g ON g.at = f.at + 1
+)
+SELECT CAST(fold AS INT) AS fold, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups FROM f WHERE fold >= 0 GROUP BY fold
+"""
 _LANGS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ., "
 
 TABLE = {
@@ -317,7 +328,7 @@ TABLE = {
     "override_join": (override_join, "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'override' ELSE n_name END AS n_name FROM nation"),
     "alt_key_join": (alt_key_join, "WITH k AS (SELECT s_suppkey, s_nationkey, unnest([s_nationkey, s_nationkey + 100]) AS k FROM supplier), n AS (SELECT n_nationkey AS nk, n_name, unnest([n_nationkey, n_nationkey + 50]) AS k FROM nation) SELECT DISTINCT s_suppkey, s_nationkey, nk, n_name FROM k LEFT JOIN n USING (k)"),
     "defaulted_summary": (defaulted_summary, "SELECT c_custkey, count(o_orderkey) AS n_orders, count(o_orderkey) > 0 AS found FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY 1"),
-    "missing_report": (missing_report, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "missing_report": (missing_report, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')"),
     "priority_lookup": (priority_lookup, "WITH l AS (SELECT doc_id, toxic FROM labels WHERE quality = 1) SELECT d.doc_id, coalesce(a.toxic, b.toxic, c.toxic) AS toxic FROM documents d LEFT JOIN l a ON a.doc_id = d.doc_id + 1 LEFT JOIN l b ON b.doc_id = d.doc_id LEFT JOIN l c ON c.doc_id = d.doc_id - 1"),
     "link_table": (link_table, "SELECT lower(source) AS key, max(length(text)) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1"),
     "cache_split": (cache_split, "SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND d.lang = 'en'"),
@@ -341,7 +352,7 @@ TABLE = {
     "adjacent_concat": (adjacent_concat, "SELECT conv_id, turn, text || ' ' || next AS text FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL"),
     "quantile_bins": (quantile_bins, "SELECT doc_id, CAST((row_number() OVER (ORDER BY n_chars, doc_id) - 1) * 20 // count(*) OVER () AS INT) AS bin FROM documents"),
     "spread_folds": (spread_folds, f"SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY {_SHUFFLE.format('doc_id')}, doc_id) - 1) % 4 AS INT) AS fold FROM documents"),
-    "group_folds": (group_folds, None),
+    "group_folds": (group_folds, GROUP_FOLDS_SQL),
     "shard_split": (shard_split, "SELECT doc_id, CAST(ntile(7) OVER (ORDER BY doc_id) - 1 AS INT) AS shard FROM documents"),
     "byte_chunks": (byte_chunks, "WITH s AS (SELECT sum(strlen(text) + 1) OVER (ORDER BY doc_id) AS e, strlen(text) + 1 AS b, sum(strlen(text) + 1) OVER () AS t FROM documents), p AS (SELECT CAST(e - b AS BIGINT) AS a, CAST(e AS BIGINT) AS e, t, unnest(range(CAST(e - b AS BIGINT) // 4096, (CAST(e AS BIGINT) - 1) // 4096 + 1)) AS chunk FROM s) SELECT chunk, CAST(sum(least(e, (chunk + 1) * 4096) - greatest(a, chunk * 4096)) AS BIGINT) AS n_bytes, count(*) AS n_texts FROM p WHERE (chunk + 1) * 4096 <= t GROUP BY 1"),
     "leading_int_sort": (leading_int_sort, 'SELECT conv_id, turn, turn AS "lead", turn + 2 AS "last", CAST(0 AS BIGINT) AS "none" FROM conversations'),
@@ -353,7 +364,7 @@ TABLE = {
     "union_filled": (union_filled, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic, '' AS lang FROM labels UNION ALL SELECT CAST(doc_id AS VARCHAR), '', '', lang FROM documents"),
     "union_tagged": (union_tagged, r"SELECT 'documents' AS source_dataset, NULL AS role, count(*) AS n FROM documents WHERE regexp_matches(text, '\S') UNION ALL SELECT 'conversations', role, count(*) FROM conversations WHERE regexp_matches(text, '\S') GROUP BY role"),
     "pool_extend": (pool_extend, "SELECT doc_id, toxic AS fold FROM labels UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
-    "set_minus": (set_minus, "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders"),
+    "set_minus": (set_minus, "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'"),
     "page_lists": (page_lists, "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 9 IN (1, 2, 3) THEN '1,2,3,8,9' WHEN doc_id % 9 = 8 THEN '1,2,3,8,9' ELSE '1,2,3,' || (doc_id % 9) || ',8,9' END AS pages FROM documents"),
     "coverage_flags": (coverage_flags, "WITH o AS (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN n = 1 THEN 'missing_translation' ELSE 'missing_translation_range:1' || array_to_string(list_transform(range(5, n + 1), lambda x: ',' || x), '') END AS flags FROM o"),
     "neighbour_window": (neighbour_window, "SELECT l_orderkey, CAST(count(DISTINCT l_linenumber) FILTER (l_linenumber BETWEEN 3 AND 5) AS INT) AS n FROM lineitem GROUP BY 1"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,23 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a folder of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder all executors share (spark.checkpoint.dir). Unset, a session in one process takes a folder of its own; a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/corpusloom-local"
     return f"{base.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}"
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back."""
-    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
