@@ -94,12 +94,18 @@ def counted(note: str, about: bool, span: bool) -> str:
 
 
 def note_pattern(phrases: Iterable[str], first: Iterable[str] = ()) -> str:
-    """Any of the phrases, the longest first, with a pair of parentheses or one of them; patterns of `first` before all."""
-    out = []
+    """Any of the phrases, the longest first, with a pair of parentheses or one of them; patterns of `first` before all.
+
+    Phrases are grouped by their first letter, so that at most places of a text one comparison tells that none begins there.
+    """
+    groups: dict[str, list[str]] = {}
     for p in sorted(phrases, key=len, reverse=True):
         edge = r"\b" if p[-1].isalpha() and " " not in p else r"\.?"
-        out.append(rf"\(?\s*{phrase(p)}{edge}\s*\)?")
-    return "(?iu)(?:" + "|".join([*first, *out]) + ")"
+        head = _SPELLINGS.get(p[0], re.escape(p[0]))
+        groups.setdefault(head, []).append(phrase(p)[len(head) :] + edge)
+    any_of = "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in groups.items())
+    letters = "".join(sorted({x for p in phrases for x in (p[0], p[0].upper(), *("uU" if p[0] == "ü" else ""))}))
+    return "(?iu)(?:" + "|".join([*first, rf"\(?\s*(?=[{letters}])(?:{any_of})\s*\)?"]) + ")"
 
 
 def _sides() -> list[str]:
@@ -120,6 +126,7 @@ def _tidy(c: Column) -> Column:
 
 
 _DIGITS = frozenset("0123456789" + SUPERSCRIPT_DIGITS)
+_MAY_BEGIN = re.compile(f"[(0-9{SUPERSCRIPT_DIGITS}]")
 
 
 def _after(text: str, at: int, among: Iterable[str] | None = None) -> int:
@@ -164,7 +171,8 @@ def _list_of_ranges(text: str, at: int) -> int:
 def _each(text: str, end_of: Callable[[str, int], int], closed: bool) -> str:
     """The text with a space for each marker and the parentheses around it; closed: only for those before a closing one."""
     out, kept, at = [], 0, 0
-    while at < len(text):
+    while found := _MAY_BEGIN.search(text, at):
+        at = found.start()
         # An opening parenthesis right after a digit belongs to what stands before.
         first = _after(text, at + 1) if text[at] == "(" and text[at - 1 : at] not in _DIGITS else at
         end = end_of(text, first)
@@ -202,7 +210,7 @@ def drop_line_markers(c: str | Column) -> Column:
 
 
 def drop_translation_notes(c: str | Column) -> Column:
-    return _tidy(F.regexp_replace(_col(c), note_pattern(TRANSLATION_NOTES, _sides() + [rf"\(?\s*{counted(*n)}\.?\s*\)?" for n in COUNTED_NOTES]), " "))
+    return _tidy(F.regexp_replace(_col(c), note_pattern(TRANSLATION_NOTES, _sides() + [rf"\(?\s*{counted(*n)}{'' if n[0].endswith('.') else '[.]?'}\s*\)?" for n in COUNTED_NOTES]), " "))
 
 
 def drop_transliteration_notes(c: str | Column, document: bool = True) -> Column:

@@ -32,7 +32,7 @@ def placeholder_filter(s, sf):
 
 
 def ratio_filter(s, sf):
-    return filters.ratio_between(T(s, sf, "documents").withColumn("short", F.substring("text", 1, 40)), "text", "short", 0.3, 4.0).select("doc_id")
+    return filters.ratio_between(T(s, sf, "documents").withColumn("other", F.repeat(F.lit("é"), (F.col("doc_id") % 900).cast("int"))), "text", "other", 0.3, 4.0).select("doc_id")
 
 
 def value_swap(s, sf):
@@ -313,7 +313,7 @@ TABLE = {
     "member_filter": (member_filter, "SELECT doc_id, lang, CAST(lang IN ('de', 'fr') AS INT) AS inside FROM documents WHERE lang IS NOT NULL"),
     "nonblank_filter": (nonblank_filter, r"SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '\S') AND regexp_matches(role, '\S')"),
     "placeholder_filter": (placeholder_filter, "SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches(lower(text), 'and|ing')"),
-    "ratio_filter": (ratio_filter, "SELECT doc_id FROM documents WHERE length(text[1:40]) / greatest(length(text), 1) BETWEEN 0.3 AND 4.0"),
+    "ratio_filter": (ratio_filter, "SELECT doc_id FROM documents WHERE (doc_id % 900) / greatest(length(text), 1) BETWEEN 0.3 AND 4.0"),
     "value_swap": (value_swap, "SELECT d.doc_id, CASE WHEN toxic = 1 AND source IS NOT NULL THEN source ELSE lang END AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "blank_coalesce": (blank_coalesce, "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang WHEN doc_id % 2 = 0 THEN source END AS value FROM documents"),
     "bool_text": (bool_text, "SELECT event_id, event_id % 4 = 0 AS is_false, event_id % 4 = 1 AS is_true FROM events"),

@@ -73,7 +73,7 @@ def prompt_text(s, sf):
 
 def predicates(s, sf):
     c = T(s, sf, "conversations")
-    return c.select("conv_id", "turn", text.is_empty("text").alias("empty"), text.says_no_text("text").alias("no_text"), text.starts_with_any("text", ("the ", "an")).alias("prefix"), text.is_gap_only(F.lit(" <gap> <gap>")).alias("gap_only"))
+    return c.select("conv_id", "turn", text.is_empty("text").alias("empty"), text.says_no_text("text").alias("no_text"), text.starts_with_any("text", ("the ", "an")).alias("prefix"), text.is_gap_only(F.when(F.col("turn") % 2 == 0, " <gap> <gap>").when(F.col("turn") % 3 == 0, " ").otherwise("<gap> a")).alias("gap_only"))
 
 
 def _quote_folds(s, sf, body):
@@ -191,13 +191,13 @@ def extracted_texts(s, sf):
 
 
 def sup_sub_html(s, sf):
-    p = T(s, sf, "pages").select("page_id", F.concat(F.substring("url", 1, 12), F.lit(" a<sup>ki</sup> u<SUB>3</sub> <sup>")).alias("t"))
+    p = T(s, sf, "pages").select("page_id", F.concat("url", F.lit(" a<sup>ki</sup> u<SUB>"), (F.col("page_id") % 10).cast("string"), F.lit("</sub> <sup>")).alias("t"))
     return p.select("page_id", cleaners.sup_sub_to_unicode("t").alias("t"))
 
 
 def text_lines(s, sf):
     c = T(s, sf, "conversations")
-    rects = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.lit(1).alias("page"), F.substring("text", 1, 12).alias("text"), (F.col("turn") % 3 * 50).cast("double").alias("x0"), (F.col("turn") * 1.5).alias("y0"), (F.col("turn") % 3 * 50 + 40).cast("double").alias("x1"), (F.col("turn") * 1.5 + 2).alias("y1"))
+    rects = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.lit(1).alias("page"), "text", (F.col("turn") % 3 * 50).cast("double").alias("x0"), (F.col("turn") * 1.5).alias("y0"), (F.col("turn") % 3 * 50 + 40).cast("double").alias("x1"), (F.col("turn") * 1.5 + 2).alias("y1"))
     return pages.text_lines(rects)
 
 
@@ -211,6 +211,8 @@ _WS = r"trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')"
 _DEDUP = r"array_to_string(list_transform(list_filter(list_zip(w, list_prepend('', w)), lambda p: p[1] IS DISTINCT FROM p[2] AND p[1] IS NOT NULL), lambda p: p[1]), ' ')"
 _CLEAN = f"SELECT *, CASE WHEN flat = '' THEN '' ELSE {_DEDUP} END AS clean FROM (SELECT *, {_WS} AS flat, string_split({_WS}, ' ') AS w FROM {{}})"
 
+_QUOTES_SQL = f"""SELECT doc_id, translate('"a" ''b'' c ' || text, '{text.DOUBLE_QUOTES}{text.APOSTROPHES}[]', '{'"' * len(text.DOUBLE_QUOTES)}{"''" * len(text.APOSTROPHES)}') AS t FROM documents"""
+
 TABLE = {
     "norm_ws": (norm_ws, f"SELECT doc_id, md5({_WS}) AS digest FROM documents"),
     "dedup_words": (dedup_words, f"SELECT doc_id, md5(CASE WHEN flat = '' THEN text ELSE clean END) AS digest FROM ({_CLEAN.format('documents')})"),
@@ -225,16 +227,15 @@ TABLE = {
     "excavation_ids": (excavation_ids, "SELECT doc_id, 'Kt. n/k ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '+77b' ELSE '' END AS key, 2 AS n_keys FROM documents"),
     "profile_route": (profile_route, "SELECT doc_id, CASE lang WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE 'default' END AS language FROM documents"),
     "prompt_text": (prompt_text, f"SELECT doc_id, md5('Translate from ' || lang || ':' || chr(10) || {_WS}) AS prompt FROM documents"),
-    "predicates": (predicates, f"SELECT conv_id, turn, {_WS} = '' AS empty, contains(lower(text), 'no text') AS no_text, starts_with(lower({_WS}), 'the ') OR starts_with(lower({_WS}), 'an') AS prefix, true AS gap_only FROM conversations"),
-    "quote_folds_whole": (lambda s, sf: _quote_folds(s, sf, F.col("text")), None),
-    "quote_folds": (lambda s, sf: _quote_folds(s, sf, F.substring("text", 1, 20)), """SELECT doc_id, translate('"a" ''b'' c ' || text[1:20], '[]“”„‟«»″‚‛‘’ʼʹʻ′`´', '') AS t FROM documents"""),
+    "predicates": (predicates, f"SELECT conv_id, turn, {_WS} = '' AS empty, contains(lower(text), 'no text') AS no_text, starts_with(lower({_WS}), 'the ') OR starts_with(lower({_WS}), 'an') AS prefix, turn % 2 = 0 AS gap_only FROM conversations"),
+    "quote_folds_whole": (lambda s, sf: _quote_folds(s, sf, F.col("text")), _QUOTES_SQL),
     "decimals": (decimals, "SELECT doc_id, 'a ' || CASE WHEN doc_id % 7 = 4 THEN (doc_id % 3) || '.66' WHEN doc_id % 7 = 2 AND doc_id % 3 > 0 THEN (doc_id % 3) || '.35' ELSE CASE WHEN doc_id % 3 = 0 THEN '' ELSE (doc_id % 3) || ' ' END || ['¼', '½', '⅓', '⅔', '', '¾', '⅚'][doc_id % 7 + 1] END || ' b' AS t FROM documents"),
     "roman": (roman, "SELECT doc_id, 'k ' || ['I', '2', '3', '4', '5', '6', '7', '8', '9', '10', '11', '12', 'XIII', 'XIV'][doc_id % 14 + 1] || ' m' AS t FROM documents"),
     "fractions": (fractions, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR doc_id % 4 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'month ' ELSE 'x ' END || (doc_id % 4) || ' / 4 y' ELSE 'x ' || ['', '¼', '', '¾'][doc_id % 4 + 1] || ' y' END AS spaced, CASE WHEN doc_id % 2 = 0 THEN 'month ' || CASE WHEN doc_id % 4 = 2 THEN '2 / 4' ELSE '0 / 4' END || ' y' ELSE 'x ' || ['', '¼', '', '¾'][doc_id % 4 + 1] || ' y' END AS compact FROM documents"),
     "line_markers_whole": (lambda s, sf: _line_markers(s, sf, F.col("text")), None),
-    "line_markers": (lambda s, sf: _line_markers(s, sf, F.substring("text", 1, 40)), "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text[1:40] || ' and 12 end', '\\([0-9]+\\)', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM documents"),
+    "line_markers": (lambda s, sf: _line_markers(s, sf, F.regexp_replace("text", "[0-9]", "")), r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[0-9]', '', 'g') || ' and 12 end', '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM documents"),
     "extracted_texts": (extracted_texts, None),
-    "sup_sub_html": (sup_sub_html, "SELECT page_id, url[1:12] || ' aᵏⁱ u₃ ' AS t FROM pages"),
+    "sup_sub_html": (sup_sub_html, "SELECT page_id, url || ' aᵏⁱ u' || '₀₁₂₃₄₅₆₇₈₉'[page_id % 10 + 1] || ' ' AS t FROM pages"),
     "text_lines": (text_lines, None),
     "fallback_fill": (fallback_fill, "SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN lang END, 'q' || a.quality, 'q' || b.quality, '(unavailable)') AS lang FROM documents d LEFT JOIN labels a ON a.doc_id = d.doc_id LEFT JOIN labels b ON b.doc_id = d.doc_id + 1"),
     "profile_main": (_profile("main"), None),
