@@ -47,17 +47,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path  # for discard()
+    _written.append(path)
     return out
 
 
+#: Paths of materialize() that are still there, in the order in which they were written.
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote and that no later plan reads."""
     for df in tables:
         path = getattr(df, "_corpusloom_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def written() -> int:
+    """A mark for sweep()."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete what materialize() has written since the mark but the tables to keep: for a step whose result is written."""
+    kept = {getattr(df, "_corpusloom_path", None) for df in keep}
+    for path in [p for p in _written[since:] if p not in kept]:
+        _delete(spark, path)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
