@@ -95,3 +95,68 @@ def test_messy(spark, messy):
     assert kept.columns == messy.columns
     assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == Counter([1, 2, 3, 4, 5, 5, 8, 9, 10, 2**60 + 3, 2**60 + 5, None, None])
     assert minhash.near_duplicates(messy.limit(0)).count() == 0
+
+
+def exact_classes(rows, limit=0.8):
+    """Class of every document by an exact join: texts that may be near share one of their rarest shingles.
+
+    Of a bag of n (shingle, number) features a near bag holds ceil(limit * n) at least, so in an order of all features it
+    holds one of the first n - ceil(limit * n) + 1. Pairs that share such a feature are compared in full.
+    """
+    import pandas as pd
+
+    ids, own = [], []
+    for i, t in rows:
+        shingles = minhash.shingles(t)
+        if len(shingles):
+            new = np.concatenate([[True], shingles[1:] != shingles[:-1]])
+            nth = np.arange(len(shingles)) - np.maximum.accumulate(np.where(new, np.arange(len(shingles)), 0))
+            own.append(np.unique(shingles * np.uint64(31) + nth.astype(np.uint64)))
+            ids.append(i)
+    text = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    _, feature, uses = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    order = np.lexsort((feature, uses[feature], text))
+    text, feature = text[order], feature[order]
+    size = np.bincount(text)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    early = (place < (size - np.ceil(limit * size - 1e-9) + 1)[text]) & (uses[feature] > 1)
+    index = pd.DataFrame({"f": feature[early], "t": text[early]})
+    root = list(range(len(own)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    # Equal bags first, so that a group of copies is met once.
+    alike = {}
+    for k, x in enumerate(own):
+        root[k] = alike.setdefault(x.tobytes(), k)
+    met = set()
+    for _, group in index[index["t"].isin(set(alike.values()))].groupby("f")["t"]:
+        members = group.to_numpy()
+        for n, x in enumerate(members):
+            for y in members[:n]:
+                if (y, x) not in met and min(size[x], size[y]) >= limit * max(size[x], size[y]) - 1e-9 and find(x) != find(y):
+                    met.add((y, x))
+                    shared = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                    if shared >= limit * (size[x] + size[y] - shared) - 1e-9:
+                        root[find(x)] = find(y)
+    least = {}
+    for k, i in enumerate(ids):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return {i: i for i, _ in rows} | {i: least[find(k)] for k, i in enumerate(ids)}
+
+
+def test_classes_equal_an_exact_join_on_ten_thousand_documents(spark, table):
+    docs = table("documents", "/root/testdata/sf0.1")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got, exact = classes(docs), exact_classes(rows)
+    assert sum(a != exact[i] for i, a in got.items()) == 0
+    assert len(set(exact.values())) < len(rows)
+
+
+def test_the_exact_join_by_all_pairs(table):
+    rows = [(r["doc_id"], r["text"]) for r in table("documents").select("doc_id", "text").collect()]
+    assert exact_classes(rows) == brute(rows)
