@@ -17,7 +17,7 @@ exactly and in blocks. Of them, those within half the threshold's angle of their
 among themselves.
 
 The links of each vector are then counted exactly inside its component, where all of them must lie. A component of at most
-BLOCK vectors is counted in one task, by a matrix product. A larger one is never gathered: vectors within half the
+BLOCK vectors is counted in one task, by a matrix product, many of them at once. A larger one is never gathered: vectors within half the
 threshold's angle of its centre are all linked to one another, which is counted without looking at pairs; only the others
 are compared to all, in blocks.
 
@@ -287,20 +287,37 @@ def verified(pairs: DataFrame, links: DataFrame, packed: DataFrame, threshold: f
     return both.select("a", "b", "dim", "vec", "other").mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _degrees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
-    """Of each row of x the weight of rows of y within the threshold, exact at its edge."""
-    out = np.zeros(len(x), np.int64)
-    for at in range(0, len(x), 2048):
-        out[at : at + 2048] = (x[at : at + 2048] @ y.T >= threshold) @ weight
-    return out
+def _component_counts(threshold: float):
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        """Counts of whole components, all of one size and dimension at once."""
+        cls, dims, ids, copies = (table.column(c).to_numpy() for c in ("cls", "dim", "id", "copies"))
+        first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        size = np.diff(np.append(first, len(cls)))
+        linked = np.zeros(len(cls), np.int64)
+        for dim, n in np.unique(np.stack([dims[first], size]), axis=1).T.tolist():
+            starts = first[(dims[first] == dim) & (size == n)]
+            at_once = max(1, (1 << 22) // (n * n))
+            for low in range(0, len(starts), at_once):
+                rows = starts[low : low + at_once, None] + np.arange(n)
+                x = _rows(table.column("vec").take(pa.array(rows.ravel())), dim).reshape(len(rows), n, dim)
+                near = x @ x.transpose(0, 2, 1) >= threshold
+                near[:, np.arange(n), np.arange(n)] = False
+                linked[rows] = (near * copies[rows][:, None, :]).sum(2)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked)], names=["id", "linked"])
 
-
-def _count_component(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _rows(pa.array(pdf["vec"]), int(pdf["dim"].iat[0]))
-        weight = pdf["copies"].to_numpy()
-        own = np.einsum("ij,ij->i", x, x) >= threshold
-        return pd.DataFrame({"id": pdf["id"], "linked": _degrees(x, x, weight, threshold) - own * weight})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of components; the last one of a batch waits for the next batch."""
+        held = None
+        for b in batches:
+            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if table.num_rows:
+                cls = table.column("cls").to_numpy()
+                last = int(np.searchsorted(cls, cls[-1]))
+                held = table.slice(last)
+                if last:
+                    yield whole(table.slice(0, last))
+        if held is not None and held.num_rows:
+            yield whole(held)
 
     return run
 
@@ -351,7 +368,7 @@ def link_counts(own: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     """own: id, cls, dim, copies, vec. id, linked: the copies of other rows of its component within the threshold."""
     sizes = materialize(own.groupBy("cls").agg(F.count(F.lit(1)).alias("n")), "component-sizes")
     sized = materialize(own.join(sizes, "cls").select("id", "cls", "dim", "copies", "vec", "n"), "component-vectors")
-    small = sized.where(F.col("n") <= block).groupBy("cls").applyInPandas(_count_component(threshold), "id long, linked long")
+    small = sized.where(F.col("n") <= block).select("id", "cls", "dim", "copies", "vec").repartition("cls").sortWithinPartitions("cls").mapInArrow(_component_counts(threshold), "id long, linked long")
     big = sized.where(F.col("n") > block)
     if big.isEmpty():
         return small
@@ -381,7 +398,8 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, windo
     single = table.schema[vector_col].dataType.elementType.simpleString() == "float"
     finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     sound = F.coalesce((F.size(vector) > 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
-    digest = F.when(sound, F.md5(F.array_join(vector, ",").cast("binary")))
+    # Two hashes of different kinds, 96 bits with those of the group beside them.
+    digest = F.when(sound, F.concat_ws(":", F.xxhash64(vector), F.hash(vector)))
     rows = materialize(table.select(F.col(id_col).cast("long").alias("id"), F.when(sound, F.xxhash64(label_col, F.size(vector))).alias("grp"), digest.alias("digest")), "vectors")
     equal = rows.where(F.col("grp").isNotNull()).groupBy(F.col("grp").alias("g"), F.col("digest").alias("d")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     equal = materialize(equal, "equal-vectors")
