@@ -77,12 +77,13 @@ _DASH = "[–—-]"
 
 def phrase(text: str) -> str:
     """A pattern for a phrase: any white space between words, points and commas or none, umlauts written out or dropped; a lone dash or none."""
-    out = ""
-    for k, word in enumerate(text.split()):
+    out, words = "", text.split()
+    for before, word in zip([None, *words], words, strict=False):
         if word == "-":
             out += rf"\s*{_DASH}?"
         else:
-            out += (r"\s*" if out.endswith("?") and k and text.split()[k - 1] == "-" else r"\s+" if k else "") + "".join(_SPELLINGS.get(ch, re.escape(ch)) for ch in word)
+            gap = "" if before is None else r"\s*" if before == "-" else r"\s+"
+            out += gap + "".join(_SPELLINGS.get(ch, re.escape(ch)) for ch in word)
     return out
 
 

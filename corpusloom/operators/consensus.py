@@ -85,7 +85,9 @@ def near_duplicate_flag(rows: DataFrame, known: DataFrame, text: str, prompts: S
 
     @F.pandas_udf("boolean")
     def close(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: any(metrics.sequence_ratio(t, e) >= limit for e in examples))
+        # Twice the shorter length by both lengths bounds the ratio.
+        may = lambda t, e: 2 * min(len(t), len(e)) >= limit * (len(t) + len(e))
+        return texts.map(lambda t: any(may(t, e) and metrics.sequence_ratio(t, e) >= limit for e in examples))
 
     joined = rows.withColumn("__key", key).join(keys, F.col("__key") == F.col("__k"), "left")
     near = close(F.col("__key")) if examples else F.lit(False)

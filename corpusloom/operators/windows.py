@@ -13,8 +13,8 @@ from corpusloom.session import materialize
 TAG_BYTES, SEPARATOR_BYTES = 22, 7
 
 
-def grouped_index(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "row_index", offset: int = 0) -> DataFrame:
-    """A gapless index inside each group in that (ascending) order, without gathering a group in one task.
+def grouped_index(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "row_index", offset: int = 0, total: str | None = None) -> DataFrame:
+    """A gapless index inside each group in that (ascending) order, without gathering a group in one task. total: a column for the group's rows.
 
     A range exchange spreads the rows over the whole order, so a group with a third of all rows is split; the rows of each
     group in each partition, counted, give every partition its start in the group.
@@ -25,18 +25,18 @@ def grouped_index(df: DataFrame, groups: Sequence[str], order: Sequence[str | Co
     ranged = materialize(ranged, "grouped-index")
     totals = ranged.groupBy("__part", *groups).agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g{n}") for n, g in enumerate(groups)], F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    starts = totals.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g{n}") for n, g in enumerate(groups)], F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"), F.sum("__rows").over(Window.partitionBy(*groups)).alias("__all"))
     inside = F.row_number().over(Window.partitionBy("__part", *groups).orderBy(*keys))
     same = F.col("__part") == F.col("__p")
     for n, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{n}"))
     indexed = ranged.withColumn("__in", inside).join(starts, same)
-    return indexed.select(*df.columns, (F.col("__start") + F.col("__in") - 1 + offset).alias(name))
+    return indexed.select(*df.columns, (F.col("__start") + F.col("__in") - 1 + offset).alias(name), *([F.col("__all").alias(total)] if total else []))
 
 
-def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index", offset: int = 0) -> DataFrame:
+def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index", offset: int = 0, total: str | None = None) -> DataFrame:
     """A gapless global index in that order, without a single-task sort: one group."""
-    return grouped_index(df, [], order, name, offset)
+    return grouped_index(df, [], order, name, offset, total)
 
 
 def context_prefix(df: DataFrame, group: str, order: Sequence[str], text: str, previous: int, max_bytes: int = 0, name: str = "context") -> DataFrame:
@@ -70,9 +70,8 @@ def join_next(df: DataFrame, group: str, order: Sequence[str], cols: Sequence[st
 def quantile_bin(df: DataFrame, value: str, order: Sequence[str], bins: int, name: str = "bin") -> DataFrame:
     """floor(rank * bins / rows) by the value; rows without a finite value have no bin. Equal values go by the order."""
     finite = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) < float("inf"))
-    good = row_index(df.where(finite), [value, *order], "__rank")
-    n = good.count()
-    binned = good.withColumn(name, F.floor(F.col("__rank") * bins / F.lit(max(n, 1))).cast("int")).drop("__rank")
+    good = row_index(df.where(finite), [value, *order], "__rank", total="__n")
+    binned = good.withColumn(name, F.floor(F.col("__rank") * bins / F.col("__n")).cast("int")).drop("__rank", "__n")
     return binned.unionByName(df.where(~finite).withColumn(name, F.lit(None).cast("int")))
 
 
@@ -121,12 +120,11 @@ def byte_chunks(df: DataFrame, text: str, order: Sequence[str], block: int) -> D
 
 def contiguous_shard(df: DataFrame, order: Sequence[str], shards: int, name: str = "shard") -> DataFrame:
     """Runs of rows in that order, as many in each but for the first ones, which may have one more."""
-    indexed = row_index(df, order, "__i")
-    n = indexed.count()
-    small, extra = divmod(n, shards)
-    cut = extra * (small + 1)
-    shard = F.when(F.col("__i") < cut, F.expr(f"__i div {small + 1}")).otherwise(extra + F.expr(f"(__i - {cut}) div {max(small, 1)}"))
-    return indexed.withColumn(name, shard.cast("int")).drop("__i")
+    indexed = row_index(df, order, "__i", total="__n")
+    sized = indexed.withColumns({"__small": F.expr(f"__n div {shards}"), "__extra": F.expr(f"__n % {shards}")})
+    cut = F.col("__extra") * (F.col("__small") + 1)
+    shard = F.when(F.col("__i") < cut, F.expr("__i div (__small + 1)")).otherwise(F.col("__extra") + F.floor((F.col("__i") - cut) / F.greatest(F.col("__small"), F.lit(1))))
+    return sized.withColumn(name, shard.cast("int")).drop("__i", "__n", "__small", "__extra")
 
 
 def seeded_order(id_col: str, seed: int) -> Column:

@@ -206,3 +206,25 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_root(Session())
+
+
+def test_near_duplicates_of_examples(spark):
+    """The ratio half by difflib over all rows and examples; the equal half beside it."""
+    import difflib
+
+    rng = random.Random(5)
+    examples = ["".join(rng.choice("abcd ") for _ in range(60)).strip() for _ in range(4)]
+    texts = []
+    for e in examples:
+        for edits in (0, 1, 2, 3, 6):
+            t = list(e)
+            for _ in range(edits):
+                t[rng.randrange(len(t))] = "x"
+            texts.append("".join(t))
+    texts += ["", "Known  Text", "other", examples[0] * 2]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    known = spark.createDataFrame([("known text",)], "text string")
+    got = {r["k"]: r["is_duplicate"] for r in consensus.near_duplicate_flag(rows, known, "text", examples).collect()}
+    flat = lambda t: " ".join(t.split()).lower()
+    expected = {k: flat(t) in ("", "known text") or any(difflib.SequenceMatcher(None, flat(t), e).ratio() >= 0.96 for e in examples) for k, t in enumerate(texts)}
+    assert got == expected and 4 < sum(got.values()) < len(texts)
