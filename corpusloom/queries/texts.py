@@ -8,6 +8,7 @@ from corpusloom.functions import arrays, cleaners, gaps, ids, numbers, profiles,
 from corpusloom.operators import consensus, joins
 from corpusloom.plans import corpus
 from corpusloom.queries.relational import T
+from corpusloom.session import spread
 from corpusloom.sources import pages
 from corpusloom.streaming import rounds
 
@@ -100,7 +101,7 @@ def fractions(s, sf):
 def _profile(name):
     def run(s, sf):
         marked = F.concat(F.lit("ki (d) a x b, 1.5 PN "), F.col("text"), F.lit(" II 1 / 2 <gap> ā"))
-        d = T(s, sf, "documents").select("doc_id", marked.alias("t"))
+        d = spread(T(s, sf, "documents")).select("doc_id", marked.alias("t"))
         return d.select("doc_id", profiles.normalize("t", name, "transliteration").alias("source_text"), profiles.normalize("t", name, "translation").alias("target_text"))
 
     return run
@@ -186,7 +187,7 @@ def _line_markers(s, sf, body):
 
 
 def extracted_texts(s, sf):
-    d = T(s, sf, "documents").select("doc_id", F.concat(F.lit("1-3) [Rest Vs. abgebr.] "), F.col("text"), F.lit(" a<sub>2</sub> x … 1/2 m Spuren")).alias("t"), F.when(F.col("doc_id") % 2 == 0, "AKT 7B").otherwise("AKT 1").alias("v"))
+    d = spread(T(s, sf, "documents")).select("doc_id", F.concat(F.lit("1-3) [Rest Vs. abgebr.] "), F.col("text"), F.lit(" a<sub>2</sub> x … 1/2 m Spuren")).alias("t"), F.when(F.col("doc_id") % 2 == 0, "AKT 7B").otherwise("AKT 1").alias("v"))
     return d.select("doc_id", cleaners.cleaned_translation("t").alias("target_text"), cleaners.cleaned_transliteration("t", "v").alias("source_text"), cleaners.drop_leading_summary("t").alias("body"))
 
 

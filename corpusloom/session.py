@@ -34,6 +34,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer partitions than there are cores, such as one file with one row group, dealt to all cores.
+
+    For work that costs far more than moving the rows. Tables with as many partitions or more are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has no more rows than that; reads one row beyond at most."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
