@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpusloom
+from corpusloom.session import spread
 
 # Functions that run on executors travel by value, so executors need no copy of this repository.
 cloudpickle.register_pickle_by_value(corpusloom)
@@ -27,7 +28,8 @@ SALTS = 64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that comes in fewer partitions than there are cores is dealt to all of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_root(spark: SparkSession) -> str:
