@@ -74,6 +74,12 @@ def test_exchange_goes_on_while_it_gains(spark):
     assert bins - whole < 0.6 * (alone - whole)
 
 
+def test_exchange_between_packs(spark):
+    sizes = np.random.default_rng(0).integers(1, 4097, 3000)
+    bins, bound = packed(spark, sizes, 300)
+    assert bins <= bound * 1.02 + 2
+
+
 def test_small_documents_meet_the_bound(spark):
     bins, bound = packed(spark, np.random.default_rng(1).integers(1, 600, 5000), 500)
     assert bins == bound
