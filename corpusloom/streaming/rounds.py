@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 from typing import Protocol
 
 import pandas as pd
@@ -96,13 +98,21 @@ def until_accepted(df: DataFrame, predictor: Predictor, text: str, id_col: str,
 
 
 def until_found(volumes: DataFrame, targets: DataFrame, scan: Callable[[DataFrame, int], DataFrame], key: str, target: str, passes: int) -> DataFrame:
-    """Detections of all passes: volumes with missing targets are scanned again, up to `passes` times."""
+    """Detections of all passes, one of each target, from the first pass that saw it.
+
+    Volumes with missing targets are scanned again, up to `passes` times. A null volume or target equals another null.
+    """
+    same = lambda cols: reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols])
+    keys = lambda df, cols: df.select(*[F.col(c).alias(f"__{c}") for c in cols]).distinct()
     found = None
     for turn in range(passes):
-        new = materialize(scan(volumes, turn), f"scan{turn}")
-        found = new if found is None else found.unionByName(new).dropDuplicates([key, target])
-        missing = targets.join(found.select(key, target), [key, target], "left_anti")
-        volumes = volumes.join(missing.select(key).distinct(), key, "left_semi")
+        new = scan(volumes, turn)
+        if found is not None:
+            new = new.join(keys(found, [key, target]), same([key, target]), "left_anti")
+        new = materialize(new.dropDuplicates([key, target]), f"scan{turn}")
+        found = new if found is None else found.unionByName(new)
+        missing = targets.join(keys(found, [key, target]), same([key, target]), "left_anti")
+        volumes = materialize(volumes.join(keys(missing, [key]), same([key]), "left_semi"), f"volumes{turn}")
         if volumes.isEmpty():
             break
     return found

@@ -234,3 +234,26 @@ def test_fill_and_overrides(spark):
     missing = joins.fill_from(df, "id", "t", F.array("id"), table, "k", "v").where("id = 3").first()["t"]
     assert missing == "(unavailable)"
     assert joins.override(df, spark.createDataFrame([(1, "o")], "id long, t string"), "id", "t").where("id = 1").first()["t"] == "o"
+
+
+def test_found_targets_keep_their_first_pass(spark):
+    """Whatever order the rows come in: each pass sees again what earlier ones found; nulls count as values."""
+    rows = [(v, k) for v in ("a", "b", None) for k in range(40)]
+    targets = spark.createDataFrame(rows, "vol string, k int")
+
+    def scan(volumes, turn):
+        wanted = volumes.select(F.col("vol").alias("wanted"))
+        return targets.join(wanted, F.col("vol").eqNullSafe(F.col("wanted")), "left_semi").where(F.col("k") % 4 <= turn).withColumn("turn", F.lit(turn))
+
+    found = rounds.until_found(targets.select("vol").distinct(), targets, scan, "vol", "k", 3).collect()
+    assert sorted(((r["vol"], r["k"], r["turn"]) for r in found), key=str) == sorted(((v, k, k % 4) for v, k in rows if k % 4 < 3), key=str)
+
+
+def test_missing_rounds_as_its_sql_on_odd_events(spark, oracle, rows_of, tmp_path):
+    """Event types that are null, user ids below 0 and null."""
+    from corpusloom import catalog
+
+    rows = [(None, k) for k in range(3)] + [("a", k) for k in (-6, -3, 4, None)]
+    spark.createDataFrame(rows, "event_type string, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["missing_rounds"](spark, str(tmp_path)).toPandas()
+    assert rows_of(got) == rows_of(oracle(catalog.ORACLES["missing_rounds"], str(tmp_path)))
