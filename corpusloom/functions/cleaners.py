@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import gaps, numbers, profiles
-from corpusloom.functions.text import SPACES, _col, drop_square_brackets, normalize_ws, space_fractions, strip
+from corpusloom.functions.text import SPACES, _col, bind, drop_square_brackets, normalize_ws, space_fractions, strip
 
 # Superscript and subscript digits, minus signs, prime marks, commas.
 SUPERSCRIPT_DIGITS, SUBSCRIPT_DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄₅₆₇₈₉"
@@ -264,9 +264,8 @@ def sup_sub_to_unicode(c: str | Column) -> Column:
     tables = {kind: _script_table(kind) for kind in ("sup", "sub")}
 
     @F.pandas_udf(T.StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: _scripts(t, tables) if t else t)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _scripts(t, tables) if t else t)
 
     c = _col(c)
     tagged = c.rlike(r"(?i)<\s*/?\s*su[pb]")
@@ -285,14 +284,36 @@ def drop_superscripts(c: str | Column) -> Column:
     return F.translate(marked, superscript_letters(), "")
 
 
+def _one_pass(name: str, c: Column, flag: Column) -> Column:
+    """A function of one_pass over whole texts. No iterators: all of one projection then share a worker and one copy of the texts."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, flags: pd.Series) -> pd.Series:
+        from corpusloom.functions import one_pass
+
+        clean = getattr(one_pass, name)
+        return pd.Series([clean(t, f) for t, f in zip(texts, flags, strict=True)], dtype=object)
+
+    return run(c, flag)
+
+
 def cleaned_transliteration(c: str | Column, volume: str | Column) -> Column:
-    """Marks and notes go; for listed volumes also tags, fractions, superscripts and brackets, and gaps are marked."""
-    out = F.translate(F.coalesce(_col(c), F.lit("")), APOSTROPHES[:2] + "‚‛" + "ʀ" + SOURCE_MARKS, "''" + "\0\0" + "r")
+    """Marks and notes go; for listed volumes also tags, fractions, superscripts and brackets, and gaps are marked.
+
+    In one pass of Python where the text is of Latin letters, in columns else.
+    """
+    c, key = F.coalesce(_col(c), F.lit("")), F.regexp_replace(F.upper(normalize_ws(volume)), r"^AKT ", "")
+    full = key.isin(*FULL_VOLUMES, REST_VOLUME) | key.startswith("LARSEN")
+    done = _one_pass("transliteration", c, full)
+    return F.coalesce(done, transliteration_columns(F.when(done.isNull(), c), full))
+
+
+def transliteration_columns(c: Column, listed: Column) -> Column:
+    out = F.translate(F.coalesce(c, F.lit("")), APOSTROPHES[:2] + "‚‛" + "ʀ" + SOURCE_MARKS, "''" + "\0\0" + "r")
     light = drop_transliteration_notes(F.replace(out, F.lit("\0"), F.lit("")))
-    key = F.regexp_replace(F.upper(normalize_ws(volume)), r"^AKT ", "")
     full = numbers.glued_fractions(sup_sub_to_unicode(light))
     full = gaps.normalize_gaps(F.translate(drop_superscripts(full), "[]<>?/⁄*'", ""), dots=2)
-    return F.when(key.isin(*FULL_VOLUMES, REST_VOLUME) | key.startswith("LARSEN"), full).otherwise(light)
+    return F.when(listed, full).otherwise(light)
 
 
 def drop_volume_notes(c: str | Column, volume: str | Column) -> Column:
@@ -309,10 +330,23 @@ def pipeline_translation(c: str | Column) -> Column:
 
 
 def cleaned_translation(c: str | Column, volume: str | Column | None = None) -> Column:
-    """The document-level cleaner: quotes, line markers, notes, tags, brackets, gaps, fractions, the main profile, notes again."""
-    out = F.translate(F.coalesce(_col(c), F.lit("")), APOSTROPHES + DOUBLE_QUOTES + "˺˹˫˪", "'" * len(APOSTROPHES) + '"' * len(DOUBLE_QUOTES))
+    """The document-level cleaner: quotes, line markers, notes, tags, brackets, gaps, fractions, the main profile, notes again.
+
+    In one pass of Python where the text is of Latin letters and the volume has no notes of its own, in columns else.
+    """
+    c, own = F.coalesce(_col(c), F.lit("")), F.lit(False) if volume is None else F.upper(normalize_ws(volume)) == REST_VOLUME
+    done = _one_pass("translation", c, own)
+    return F.coalesce(done, translation_columns(_tidy(F.coalesce(_one_pass("unmarked", c, own), F.lit(""))), volume))
+
+
+def fold_quotes(c: Column) -> Column:
+    return F.translate(F.coalesce(c, F.lit("")), APOSTROPHES + DOUBLE_QUOTES + "˺˹˫˪", "'" * len(APOSTROPHES) + '"' * len(DOUBLE_QUOTES))
+
+
+def translation_columns(out: Column, volume: str | Column | None = None) -> Column:
+    """What follows quotes and line markers."""
     own_notes = lambda x: x if volume is None else drop_volume_notes(x, volume)
-    out = sup_sub_to_unicode(own_notes(drop_translation_notes(drop_line_markers(out))))
+    out = sup_sub_to_unicode(own_notes(drop_translation_notes(out)))
     out = F.translate(drop_square_brackets(out), "ᵖˡʳᵘʼ", "")
     out = F.regexp_replace(out, r"(?<![A-Za-z])x+(?![A-Za-z])", gaps.GAP)
     out = numbers.glued_fractions(F.translate(out, SUPERSCRIPT_DIGITS + SUBSCRIPT_DIGITS, "0123456789" * 2))
@@ -326,11 +360,16 @@ def _any(words: Iterable[str]) -> str:
     return "(?:" + "|".join(r"\s+".join(re.escape(x) for x in w.split()) for w in words) + ")"
 
 
+def _ahead(words: Iterable[str]) -> str:
+    """A look-ahead for the words' first letters: word boundaries of any script cost more and are then rarely tried."""
+    return f"(?=[{''.join(sorted({w[0] for w in words}))}])"
+
+
 def has_summary(c: str | Column) -> Column:
     """A word of a summary anywhere, or a description of an object at the beginning."""
     kinds = _any(DESCRIPTION_WORDS)
     described = rf"(?iU)^(?:an?\s+{kinds}\s+|{DESCRIPTION_WORDS[0]}\s+envelope)"
-    return _col(c).rlike(rf"(?iU)\b{_any(SUMMARY_WORDS)}\b") | _col(c).rlike(described)
+    return _col(c).rlike(rf"(?iU){_ahead(SUMMARY_WORDS)}\b{_any(SUMMARY_WORDS)}\b") | _col(c).rlike(described)
 
 
 def _starts() -> str:
@@ -339,7 +378,7 @@ def _starts() -> str:
     for p in START_PHRASES:
         body = re.escape(p).replace(r"\ ", r"\s*" if "(" in p else r"\s+").replace("'", "['’]?").replace(":", r"\s*:")
         out.append(body)
-    return r"(?iU)\b(?:" + "|".join(out) + ")"
+    return rf"(?iU){_ahead(START_PHRASES)}\b(?:" + "|".join(out) + ")"
 
 
 def summary_only(c: str | Column) -> Column:
@@ -350,20 +389,20 @@ def summary_only(c: str | Column) -> Column:
 
 def drop_leading_summary(c: str | Column) -> Column:
     """From the first line range, after the first blank line, or from a start cue on, if what stands before is a summary."""
-    raw = strip(F.coalesce(_col(c), F.lit("")))
-
-    def before(pattern: str) -> Column:
-        return F.regexp_extract(raw, f"(?su)^(.*?)(?:{pattern})", 1)
-
-    def after(head: Column) -> Column:
-        return normalize_ws(F.substr(raw, F.length(head) + 1))
-
     ranged = r"(?<=^|\n)[ \t]*[0-9]{1,3}\s*-\s*[0-9]{1,3}\s*\)"
     blank, start = r"\n\s*\n", _starts()
-    head, first, lead = before(ranged), before(blank), before(start)
-    return (
-        F.when(raw.rlike(ranged) & (has_summary(head) | head.rlike(rf"(?iU)\b{_any(SECTION_SIGNS)}\.\s*[0-9]{{1,3}}\b")), after(head))
-        .when(raw.rlike(blank) & has_summary(normalize_ws(first)), after(first))
-        .when(raw.rlike(start) & has_summary(lead), after(lead))
-        .otherwise(normalize_ws(raw))
-    )
+    sectioned = lambda head: head.rlike(rf"(?iU)\b{_any(SECTION_SIGNS)}\.\s*[0-9]{{1,3}}\b")
+
+    def body(raw: Column) -> Column:
+        before = lambda pattern: F.regexp_extract(raw, f"(?su)^(.*?)(?:{pattern})", 1)
+        after = lambda head: normalize_ws(F.substr(raw, F.length(head) + 1))
+        head, first, lead = before(ranged), before(blank), before(start)
+        return (
+            F.when(raw.rlike(ranged) & (has_summary(head) | sectioned(head)), after(head))
+            .when(raw.rlike(blank) & has_summary(normalize_ws(first)), after(first))
+            # What makes a summary stands anywhere in it, so a text without any has none before a start cue.
+            .when(has_summary(raw) & raw.rlike(start) & has_summary(lead), after(lead))
+            .otherwise(normalize_ws(raw))
+        )
+
+    return bind(strip(F.coalesce(_col(c), F.lit(""))), body)
