@@ -75,3 +75,34 @@ def test_a_large_record_takes_seconds(spark):
     began = time.time()
     assert consensus.pick_by_peers(df, "geo").count() == 1
     assert time.time() - began < 25
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_reranking_counts_the_candidate_itself(spark, monkeypatch, block):
+    monkeypatch.setattr(consensus, "BLOCK_ROWS", block)
+    rows = some_records()
+    got = consensus.pick_by_peers(spark.createDataFrame(rows, SCHEMA), own=True).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == plainly(rows, False, True, None)
+
+
+def test_a_large_record_goes_to_many_tasks(spark, monkeypatch):
+    """A record of 40 texts in blocks of about 8: no task holds more than two of them; copies are met once, whatever their number."""
+    monkeypatch.setattr(consensus, "BLOCK_ROWS", 8)
+    met, meet = spark.sparkContext.accumulator(0), consensus._meet
+    most = 30
+
+    def watched(geo, own):
+        run = meet(geo, own)
+
+        def counted(key, rows):
+            assert rows.num_rows <= most
+            met.add(1)
+            return run(key, rows)
+
+        return counted
+
+    monkeypatch.setattr(consensus, "_meet", watched)
+    rows = [(1, i, f"the cat {i % 40} sat on mat {i % 7}", None) for i in range(80)]
+    got = consensus.pick_by_peers(spark.createDataFrame(rows, SCHEMA), own=True).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == plainly(rows, False, True, None)
+    assert met.value > 20
