@@ -53,7 +53,7 @@ def _choose(geo: bool, own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, ...], tuple[int, float]] = {}
         waiting: dict[tuple[str, ...], list[tuple[int | None, list[int | None]]]] = {}
-        held = [0, 0]
+        held = [0, 0, 0]
         out: tuple[list, ...] = ([], [], [], [])
 
         def put(record, places, texts, best, score):
@@ -83,7 +83,7 @@ def _choose(geo: bool, own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 for record, places in records:
                     put(record, places, texts, best, score)
             waiting.clear()
-            held[:] = 0, 0
+            held[:] = 0, 0, 0
             yield from given()
 
         def given() -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,8 @@ def _choose(geo: bool, own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 held[0] += len(texts)
                 held[1] += sum(map(len, texts))
             waiting.setdefault(texts, []).append((record, places))
-            if held[0] >= BATCH_ROWS or held[1] >= BATCH_CHARS or len(waiting[texts]) >= 10_000:
+            held[2] += len(places)
+            if held[0] >= BATCH_ROWS or held[1] >= BATCH_CHARS or held[2] >= 10_000:
                 yield from flush()
 
         current, rows = None, []
